@@ -59,7 +59,7 @@ def fold_table() -> tuple[str, str]:
     for ch in list(pairs):  # a look-alike may stand behind another width
         pairs[ch] = pairs.get(pairs[ch], pairs[ch])
     gone = []
-    for cp in (*range(0, 0x3400), *range(0xFE00, 0xFE10), *range(0xFF00, 0x10000), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE01F0)):
+    for cp in (*range(0, 0x3400), *range(0xFE00, 0x10000), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE01F0)):
         ch = chr(cp)
         cat = unicodedata.category(ch)
         if cat in ("Zs", "Zl", "Zp") or ch in "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85":
