@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kikitori.llm import oracle
+from kikitori.llm.abuse import CATEGORIES, found_categories, score_content
 from kikitori.llm.lookalike import canonicalize, lookalike_classes, lookalike_pairs, stored_values
 from kikitori.plans.tables import table
 
@@ -31,8 +32,38 @@ def p5_canonical_speakers(spark: SparkSession, d: str) -> DataFrame:
     return canonicalize(m, ["speaker_id"]).groupBy("speaker_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return score_content(table(spark, d, "manifest"), "row_id", "text", "caption")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return found_categories(_scores(spark, d), "row_id")
+
+
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A score for every row: the highest of its text and captions in each category."""
+    s = _scores(spark, d)
+    # both fields of a row stand next to each other, so the partial aggregate leaves one row for each
+    return s.groupBy("row_id").agg(*[F.max(c).alias(c) for c in CATEGORIES])
+
+
+def p1_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source (the null source too): rows, and the share of rows found in each category."""
+    m = table(spark, d, "manifest")
+    keyed = m.select(F.struct("row_id", "source").alias("k"), "text", "caption")
+    found = score_content(keyed, "k", "text", "caption")
+    # one row of manifest gives two neighbouring rows of scores: halves of a row count as one by adding flags of distinct ids
+    hit = found.groupBy("k").agg(*[F.max((F.col(c) >= 1.0).cast("int")).alias(c) for c in CATEGORIES])
+    return hit.groupBy(F.col("k.source").alias("source")).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(f"{c}_rate") for c in CATEGORIES]
+    )
+
+
 def queries():
     return {
+        "p1_found": p1_found,
+        "p1_scores": p1_scores,
+        "p1_source_rates": p1_source_rates,
         "p5_found": p5_found,
         "p5_classes": p5_classes,
         "p5_canonical_speakers": p5_canonical_speakers,
