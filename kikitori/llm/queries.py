@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from kikitori.llm import oracle
 from kikitori.llm.abuse import CATEGORIES, found_categories, score_content
 from kikitori.llm.lookalike import canonicalize, lookalike_classes, lookalike_pairs, stored_values
+from kikitori.llm.turns import speaker_turns, transcript_findings
 from kikitori.plans.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return transcript_findings(table(spark, d, "transcripts"), "transcript_id", "segments")
+
+
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    return speaker_turns(table(spark, d, "transcripts"), "transcript_id", "segments")
+
+
 def _manifest_values(spark: SparkSession, d: str) -> DataFrame:
     return stored_values(table(spark, d, "manifest"), ["text", "speaker_id"], ["caption"])
 
@@ -64,6 +73,8 @@ def queries():
         "p1_found": p1_found,
         "p1_scores": p1_scores,
         "p1_source_rates": p1_source_rates,
+        "p2_found": p2_found,
+        "p2_turns": p2_turns,
         "p5_found": p5_found,
         "p5_classes": p5_classes,
         "p5_canonical_speakers": p5_canonical_speakers,
