@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from kikitori.llm import oracle
 from kikitori.llm.abuse import CATEGORIES, found_categories, score_content
+from kikitori.llm.groups import bound_speakers, row_units, unit_links, update_components
 from kikitori.llm.lookalike import canonicalize, lookalike_classes, lookalike_pairs, stored_values
 from kikitori.llm.turns import speaker_turns, transcript_findings
 from kikitori.plans.tables import table
+from kikitori.session import cut
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +22,37 @@ def p2_turns(spark: SparkSession, d: str) -> DataFrame:
     return speaker_turns(table(spark, d, "transcripts"), "transcript_id", "segments")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return bound_speakers(table(spark, d, "manifest"), "speaker_id", "audio_file")
+
+
+FIRST_LOAD_UNTIL = "2024-06-01"
+
+
+def _split_rows(spark: SparkSession, d: str) -> DataFrame:
+    """row_id, split_name, status after two loads: the rows written before FIRST_LOAD_UNTIL, then all rows."""
+    m = table(spark, d, "manifest")
+    targets = [(r["split_name"], r["target_share"]) for r in table(spark, d, "split_targets").orderBy("split_name").collect()]
+    existing = None
+    for load in (m.where(F.col("written_at") < F.lit(FIRST_LOAD_UNTIL).cast("timestamp_ntz")), m):
+        rows, _ = cut(row_units(load, "row_id", "speaker_id", "audio_file"), "row-units")
+        sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
+        existing, _ = cut(update_components(sizes, unit_links(load, "speaker_id", "audio_file"), targets, existing), "component-table")
+    return rows.join(existing, "unit").select("row_id", "split_name", "status")
+
+
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    return _split_rows(spark, d)
+
+
+def p3_split_shares(spark: SparkSession, d: str) -> DataFrame:
+    rows = _split_rows(spark, d).groupBy("split_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    total = rows.agg(F.sum("n_rows")).scalar()
+    return rows.join(table(spark, d, "split_targets"), "split_name", "left").select(
+        "split_name", "n_rows", (F.col("n_rows") / total).alias("share"), "target_share"
+    )
+
+
 def _manifest_values(spark: SparkSession, d: str) -> DataFrame:
     return stored_values(table(spark, d, "manifest"), ["text", "speaker_id"], ["caption"])
 
@@ -75,6 +108,9 @@ def queries():
         "p1_source_rates": p1_source_rates,
         "p2_found": p2_found,
         "p2_turns": p2_turns,
+        "p3_found": p3_found,
+        "p3_splits": p3_splits,
+        "p3_split_shares": p3_split_shares,
         "p5_found": p5_found,
         "p5_classes": p5_classes,
         "p5_canonical_speakers": p5_canonical_speakers,
