@@ -24,12 +24,12 @@ def prefix_sum(df: DataFrame, partition: Sequence[str], bucket: str, order: Sequ
     the order (bucket, order). The order must be total for a deterministic result. Null weights add nothing; null
     partition values form a partition of their own; an empty table stays empty."""
     keys = [*partition, bucket]
-    totals = df.groupBy(*keys).agg(F.sum(F.coalesce(F.col(weight), F.lit(0))).alias("__t"))
+    totals = df.groupBy(*keys).agg(F.sum(F.coalesce(F.col(weight), F.lit(0))).alias("__ps_t"))
     w = Window.partitionBy(*partition).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     if not partition:  # at most BUCKETS rows
         w = Window.partitionBy(F.lit(1)).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(k).alias(f"__p{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__before"))
+    totals = totals.select(*[F.col(k).alias(f"__p{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__ps_t").over(w), F.lit(0)).alias("__ps_before"))
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = df.withColumn("__in", F.coalesce(F.sum(F.coalesce(F.col(weight), F.lit(0))).over(inner), F.lit(0)))
+    own = df.withColumn("__ps_in", F.coalesce(F.sum(F.coalesce(F.col(weight), F.lit(0))).over(inner), F.lit(0)))
     on = [F.col(k).eqNullSafe(F.col(f"__p{i}")) for i, k in enumerate(keys)]
-    return own.join(totals, on).withColumn(out, F.col("__before") + F.col("__in")).drop("__before", "__in", *[f"__p{i}" for i in range(len(keys))])
+    return own.join(totals, on).withColumn(out, F.col("__ps_before") + F.col("__ps_in")).drop("__ps_before", "__ps_in", *[f"__p{i}" for i in range(len(keys))])
