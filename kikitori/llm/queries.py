@@ -9,6 +9,10 @@ from kikitori.llm import oracle
 from kikitori.llm.abuse import CATEGORIES, found_categories, score_content
 from kikitori.llm.groups import bound_speakers, row_units, unit_links, update_components
 from kikitori.llm.lookalike import canonicalize, lookalike_classes, lookalike_pairs, stored_values
+from kikitori.llm.mixing import draw_mix, letter_share, reached_shares
+from kikitori.llm.packing import pack
+from kikitori.llm.pieces import oversized_rows, recording_pieces
+from kikitori.llm.tokens import token_count
 from kikitori.llm.turns import speaker_turns, transcript_findings
 from kikitori.plans.tables import table
 from kikitori.session import cut
@@ -101,6 +105,51 @@ def p1_source_rates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _size_limit(spark: SparkSession, d: str, kind: str):
+    return table(spark, d, "size_limits").where(F.col("item_kind") == kind).first()
+
+
+def _pieces(spark: SparkSession, d: str, limit) -> DataFrame:
+    return recording_pieces(table(spark, d, "manifest"), table(spark, d, "diarization"), limit["max_size"], limit["overlap_size"], limit["units_per_second"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    limit = _size_limit(spark, d, "latent")
+    return oversized_rows(_pieces(spark, d, limit), limit["max_size"], limit["units_per_second"])
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, _size_limit(spark, d, "latent")).drop("longest_talk_ms")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, part_no, start_token, end_token, bin_id: every document, in bins of the token_bin size."""
+    docs = table(spark, d, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    packed = pack(docs, "doc_id", "n_tokens", _size_limit(spark, d, "token_bin")["max_size"])
+    return packed.select(F.col("item").alias("doc_id"), "part_no", F.col("start_unit").alias("start_token"), F.col("end_unit").alias("end_token"), "bin_id")
+
+
+def p8_bins(spark: SparkSession, d: str) -> DataFrame:
+    """bin_id, n_parts, n_tokens, free_tokens."""
+    limit = _size_limit(spark, d, "token_bin")["max_size"]
+    sums = p8_packed(spark, d).groupBy("bin_id").agg(F.count(F.lit(1)).alias("n_parts"), F.sum(F.col("end_token") - F.col("start_token")).alias("n_tokens"))
+    return sums.withColumn("free_tokens", F.lit(limit) - F.col("n_tokens"))
+
+
+def _mix(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").join(table(spark, d, "mix_targets").select("source"), "source", "left_semi")
+    sized = docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"), letter_share(F.col("text")).alias("weight"))
+    return draw_mix(sized, table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return reached_shares(_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def queries():
     return {
         "p1_found": p1_found,
@@ -114,6 +163,12 @@ def queries():
         "p5_found": p5_found,
         "p5_classes": p5_classes,
         "p5_canonical_speakers": p5_canonical_speakers,
+        "p7_found": p7_found,
+        "p7_pieces": p7_pieces,
+        "p8_packed": p8_packed,
+        "p8_bins": p8_bins,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
     }
 
 
