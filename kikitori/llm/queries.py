@@ -10,6 +10,7 @@ from kikitori.llm.abuse import CATEGORIES, found_categories, score_content
 from kikitori.llm.groups import bound_speakers, row_units, unit_links, update_components
 from kikitori.llm.lookalike import canonicalize, lookalike_classes, lookalike_pairs, stored_values
 from kikitori.llm.mixing import draw_mix, letter_share, reached_shares
+from kikitori.llm.mojibake import find_garbled
 from kikitori.llm.packing import pack
 from kikitori.llm.pieces import oversized_rows, recording_pieces
 from kikitori.llm.tokens import token_count
@@ -150,6 +151,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return find_garbled(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries():
     return {
         "p1_found": p1_found,
@@ -169,6 +178,8 @@ def queries():
         "p8_bins": p8_bins,
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
+        "p10_found": p10_found,
+        "p10_restored": p10_restored,
     }
 
 
