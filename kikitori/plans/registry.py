@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kikitori.plans import corpus
+from kikitori.plans import corpus, text_queries
 
-MODULES = (corpus,)
+MODULES = (corpus, text_queries)
 
 
 def queries():
