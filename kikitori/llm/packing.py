@@ -29,15 +29,22 @@ SHARD_ITEMS = 20_000  # bins and small items of one best-fit task
 
 
 def linear_groups(histogram: dict[int, int], groups: int = GROUPS) -> list[tuple[int, int, int]]:
-    """(lowest size, highest size, items) of groups of about equal cardinality, largest first; equal sizes stay together."""
-    total, out, high, items = sum(histogram.values()), [], None, 0
+    """(lowest size, highest size, items) of groups of about equal cardinality, largest first. Equal sizes stay together; a
+    size that fills a group by itself is one, so that it isn't rounded up at all. At most twice ``groups`` come out."""
+    total, out = sum(histogram.values()), []
+    high, low, items = None, 0, 0
     for size in sorted(histogram, reverse=True):
-        high = size if high is None else high
-        items += histogram[size]
+        n = histogram[size]
+        if n * groups >= total:
+            if high is not None:
+                out.append((low, high, items))
+            out.append((size, size, n))
+            high, items = None, 0
+            continue
+        high, low, items = (size if high is None else high), size, items + n
         if items * groups >= total:
-            out.append((size, high, items))
+            out.append((low, high, items))
             high, items = None, 0
-        low = size
     if high is not None:
         out.append((low, high, items))
     return out
