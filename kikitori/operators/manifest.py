@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kikitori.functions.text import keyed_number, keyed_order
@@ -49,16 +49,23 @@ def rank_contiguous(idx: Column, start: int, total: int, world: int) -> Column:
     return F.when((idx >= start) & (idx < total), F.floor((idx - start) / F.lit(per)))
 
 
-def first_accepted(rows: DataFrame, rank: str, idx: str, ok: Column, most: int) -> DataFrame:
-    """Per rank, the rows up to its ``most``-th accepted one: what a reader that stops there has seen."""
-    w = Window.partitionBy(rank).orderBy(idx)
-    return rows.withColumn("__n", F.sum(ok.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("__n", F.lit(0)) < most).drop("__n")
+def number_bucket(df: DataFrame, number: str, buckets: int) -> Column:
+    """A bucket that follows a whole number from 0 to its maximum."""
+    top = df.agg(F.max(number)).scalar()
+    return F.floor(F.greatest(F.col(number), F.lit(0)) * buckets / (F.greatest(top, F.lit(0)) + 1)).cast("int")
+
+
+def first_accepted(rows: DataFrame, rank: str, idx: str, ok: Column, most: int, buckets: int = 1024) -> DataFrame:
+    """Per rank, the rows up to its ``most``-th accepted one: what a reader that stops there has seen. Ranks are few, so the
+    running count is taken over buckets of positions."""
+    counted = rows.withColumns({"__ok": ok.cast("int"), "__bk": number_bucket(rows, idx, buckets)})
+    run = prefix_sum(counted, [rank], "__bk", [idx], "__ok", "__n")
+    return run.where(F.col("__n") < most).drop("__n", "__ok", "__bk")
 
 
 def line_offsets(df: DataFrame, line_no: str, line: Column, buckets: int = 1024) -> DataFrame:
     """Byte offset of each line: the sum of the lengths before, by buckets of line numbers."""
-    top = df.agg(F.max(line_no)).scalar()
-    sized = df.withColumns({"__len": (F.octet_length(line) + 1).cast("bigint"), "__bk": F.floor(F.col(line_no) * buckets / (F.greatest(top, F.lit(0)) + 1)).cast("int")})
+    sized = df.withColumns({"__len": (F.octet_length(line) + 1).cast("bigint"), "__bk": number_bucket(df, line_no, buckets)})
     return prefix_sum(sized, [], "__bk", [line_no], "__len", "byte_offset").drop("__len", "__bk")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kikitori.functions import arrays as A
 from kikitori.functions import schedules as H
 from kikitori.operators import cluster as C
+from kikitori.operators.prefix import hash_bucket
 from kikitori.plans.base import Book
 from kikitori.plans.tables import table
 
@@ -14,6 +15,8 @@ book = Book()
 queries, oracle_sql = book.queries, book.oracle_sql
 E_SQL = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)"
 
+SALTS = 16
+
 
 def vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
@@ -40,9 +43,10 @@ def q_usable(spark, d):
 
 @book.query("pairwise_cosine", E_SQL + ", q AS (SELECT * FROM e WHERE vec_id % 20 = 0) SELECT q.vec_id AS a, e.vec_id AS b, round(1 - list_dot_product(q.x, e.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(e.x, e.x))), 6) AS distance FROM q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id")
 def q_pairs(spark, d):
-    e = vectors(spark, d).select("vec_id", "label", A.l2_normalize(F.col("x")).alias("x"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("x").alias("y"))
-    return q.join(e, "label").where("a <> vec_id").select("a", F.col("vec_id").alias("b"), F.round(1 - A.dot(F.col("y"), F.col("x")), 6).alias("distance"))
+    # a label may hold a third of all vectors: its vectors are spread over salts, the queries copied to each
+    e = vectors(spark, d).select("vec_id", "label", A.l2_normalize(F.col("x")).alias("x")).withColumn("salt", hash_bucket(F.col("vec_id"), buckets=SALTS))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return q.join(e, ["label", "salt"]).where("a <> vec_id").select("a", F.col("vec_id").alias("b"), F.round(1 - A.dot(F.col("y"), F.col("x")), 6).alias("distance"))
 
 
 @book.query("cluster_embeddings")

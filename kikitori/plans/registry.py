@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kikitori.plans import array_queries, corpus, segment_queries, source_queries, text_queries
+from kikitori.plans import array_queries, corpus, more_queries, segment_queries, source_queries, text_queries
 
-MODULES = (corpus, text_queries, segment_queries, array_queries, source_queries)
+MODULES = (corpus, text_queries, segment_queries, array_queries, source_queries, more_queries)
 
 
 def queries():
