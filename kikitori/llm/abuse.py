@@ -281,15 +281,20 @@ def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays(columns, names=["id", *[f"{f}_{c}" for f in ("text", "caption") for c in CATEGORIES]])
 
 
-def score_content(df: DataFrame, id_column: str, text: str, captions: str) -> DataFrame:
-    """Id, field_name (``text``, ``caption``), abuse, hate, sexual: two rows for every row of ``df``, whatever its nulls."""
+def score_rows(df: DataFrame, id_column: str, text: str, captions: str) -> DataFrame:
+    """Id and text_abuse .. caption_sexual: one row of scores for every row of ``df``, without a shuffle. The id may be a
+    struct, to carry other columns along."""
     kind = dict(df.dtypes)[id_column]
     schema = f"id {kind}, " + ", ".join(f"{f}_{c} double" for f in ("text", "caption") for c in CATEGORIES)
-    scored = df.select(F.col(id_column).alias("id"), F.col(text), F.col(captions)).mapInArrow(_score_batches, schema)
+    return df.select(F.col(id_column).alias("id"), F.col(text), F.col(captions)).mapInArrow(_score_batches, schema).withColumnRenamed("id", id_column)
+
+
+def score_content(df: DataFrame, id_column: str, text: str, captions: str) -> DataFrame:
+    """Id, field_name (``text``, ``caption``), abuse, hate, sexual: two rows for every row of ``df``, whatever its nulls."""
     parts = [
         F.struct(F.lit(f).alias("field_name"), *[F.col(f"{f}_{c}").alias(c) for c in CATEGORIES]) for f in ("text", "caption")
     ]
-    return scored.select(F.col("id").alias(id_column), F.inline(F.array(*parts)))
+    return score_rows(df, id_column, text, captions).select(id_column, F.inline(F.array(*parts)))
 
 
 def found_categories(scores: DataFrame, id_column: str) -> DataFrame:

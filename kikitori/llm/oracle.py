@@ -1,3 +1,18 @@
 """SQL for those queries of the text problems that SQL can express."""
 
-SQL: dict[str, str] = {}
+_STEM = r"regexp_extract({0}, '([^/\\]*?)(\.[^./\\]*)?$', 1)"
+
+P7_FOUND = f"""
+WITH d AS (SELECT {_STEM.replace("{0}", "audio_file")} AS stem, duration, segments FROM diarization),
+s AS (SELECT stem, CAST(round(x.start_s * 1000) AS BIGINT) AS a, CAST(round(x.end_s * 1000) AS BIGINT) AS b FROM (SELECT stem, unnest(segments) AS x FROM d)),
+m AS (SELECT *, max(b) OVER (PARTITION BY stem ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM s WHERE a IS NOT NULL AND b > a),
+g AS (SELECT *, sum(CASE WHEN pb IS NULL OR a > pb THEN 1 ELSE 0 END) OVER (PARTITION BY stem ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM m),
+p AS (SELECT stem, max(b) - min(a) AS len FROM g GROUP BY stem, i),
+t AS (SELECT stem, max(len) AS longest FROM p GROUP BY 1),
+l AS (SELECT stem, max(CAST(round(duration * 1000) AS BIGINT)) AS ms FROM d GROUP BY 1),
+r AS (SELECT row_id, coalesce(num_frames, CAST(floor(ms * 25.0 / 1000) AS BIGINT)) AS n, longest
+  FROM (SELECT row_id, num_frames, {_STEM.replace("{0}", "latent_path")} AS stem FROM manifest) JOIN l USING (stem) LEFT JOIN t USING (stem))
+SELECT row_id, 'oversized' AS kind FROM r WHERE n > 750 UNION ALL SELECT row_id, 'forced' FROM r WHERE n > 750 AND longest > 30000
+"""
+
+SQL: dict[str, str] = {"p7_found": P7_FOUND}
