@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def indices(n: Column) -> Column:
     """0..n-1; none for n = 0 (``sequence(0, -1)`` would count down)."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -31,8 +37,7 @@ def norm(x: Column) -> Column:
 
 def l2_normalize(x: Column) -> Column:
     """Null for the zero vector and for vectors with NaN."""
-    n = norm(x)
-    return F.when((n > 0) & ~F.isnan(n), F.transform(x, lambda v: v.cast("double") / n))
+    return let(norm(x), lambda n: F.when((n > 0) & ~F.isnan(n), F.transform(x, lambda v: v.cast("double") / n)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -95,25 +100,26 @@ def rms(x: Column) -> Column:
 
 
 def peak_limit(x: Column) -> Column:
-    peak = F.array_max(F.transform(x, F.abs))
-    return F.when((peak > 1) & ~F.isnan(peak) & (peak < float("inf")), F.transform(x, lambda v: v / peak)).otherwise(x)
+    loud = lambda peak: (peak > 1) & ~F.isnan(peak) & (peak < float("inf"))
+    return let(F.array_max(F.transform(x, F.abs)), lambda peak: F.when(loud(peak), F.transform(x, lambda v: v / peak)).otherwise(x))
 
 
 def standardize(x: Column) -> Column:
     """(x - mean) / (sample deviation + 1e-8)."""
-    m = mean(x)
-    sd = F.sqrt(F.when(F.size(x) > 1, total(F.transform(x, lambda v: (v - m) * (v - m))) / (F.size(x) - 1)).otherwise(0.0))
-    return F.transform(x, lambda v: (v - m) / (sd + 1e-8))
+    squares = lambda m: total(F.transform(x, lambda v: (v - m) * (v - m)))
+    deviation = lambda m: F.sqrt(F.when(F.size(x) > 1, squares(m) / (F.size(x) - 1)).otherwise(0.0))
+    both = let(mean(x), lambda m: F.struct(m.alias("m"), deviation(m).alias("sd")))
+    return let(both, lambda b: F.transform(x, lambda v: (v - b["m"]) / (b["sd"] + 1e-8)))
 
 
 def minmax_scale(x: Column) -> Column:
-    lo, hi = F.array_min(x), F.array_max(x)
-    return F.transform(x, lambda v: F.when(hi - lo < 1e-10, 0.0).otherwise((v - lo) / (hi - lo)))
+    ends = F.struct(F.array_min(x).alias("lo"), F.array_max(x).alias("hi"))
+    return let(ends, lambda e: F.transform(x, lambda v: F.when(e["hi"] - e["lo"] < 1e-10, 0.0).otherwise((v - e["lo"]) / (e["hi"] - e["lo"]))))
 
 
 def db_scale(power: Column, top_db: float = 80.0) -> Column:
-    db = F.transform(power, lambda v: 10 * F.log10(F.greatest(v, F.lit(1e-10))))
-    return F.transform(db, lambda v: F.greatest(v, F.array_max(db) - top_db))
+    levels = F.transform(power, lambda v: 10 * F.log10(F.greatest(v, F.lit(1e-10))))
+    return let(levels, lambda db: let(F.array_max(db) - top_db, lambda floor: F.transform(db, lambda v: F.greatest(v, floor))))
 
 
 def band_means(mel: Column, bands: int) -> Column:
@@ -142,10 +148,13 @@ def speech_end(x: Column, rate: int, threshold_db: float = -45.0) -> Column:
 def tail_fade_pad(x: Column, rate: int, fade_ms: float, pad_ms: float) -> Column:
     """Squared-cosine fade that ends where speech ends, cut there, then zeros."""
     fade_n, pad_n = int(fade_ms / 1000 * rate), int(pad_ms / 1000 * rate)
-    end = speech_end(x, rate)
-    start = F.greatest(end - fade_n, F.lit(0))
-    faded = F.transform(F.slice(x, F.lit(1), end), lambda v, i: F.when(i < start, v).otherwise(v * F.pow(F.cos(F.lit(math.pi / 2) * (i - start) / F.greatest(end - start - 1, F.lit(1))), 2)))
-    body = F.when(F.size(x) > fade_n, faded).otherwise(x) if fade_n > 0 else x
+
+    def faded(end: Column) -> Column:
+        start = F.greatest(end - fade_n, F.lit(0))
+        curve = lambda i: F.pow(F.cos(F.lit(math.pi / 2) * (i - start) / F.greatest(end - start - 1, F.lit(1))), 2)
+        return F.transform(F.slice(x, F.lit(1), end), lambda v, i: F.when(i < start, v).otherwise(v * curve(i)))
+
+    body = F.when(F.size(x) > fade_n, let(speech_end(x, rate), faded)).otherwise(x) if fade_n > 0 else x
     return F.concat(body, F.array_repeat(F.lit(0.0), pad_n)) if pad_n > 0 else body
 
 

@@ -1,21 +1,63 @@
-"""All queries of the core, by name, and their SQL."""
+"""All queries of the core, by name, and their SQL. Array columns come out as text, alike in both engines."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kikitori.plans import array_queries, corpus, more_queries, segment_queries, source_queries, text_queries
 
 MODULES = (corpus, text_queries, segment_queries, array_queries, source_queries, more_queries)
+#: array columns by query: numbers, truth values, strings
+NUMBERS = {
+    "duration_features": ["features"],
+    "set_has_speaker": ["features"],
+    "l2_normalize": ["unit"],
+    "patchify": ["first"],
+    "unpatchify": ["x"],
+    "pad_latents": ["padded"],
+    "coerce_layout": ["first_row"],
+    "mono_mix": ["mono"],
+    "peak_limit": ["x"],
+    "chunk_standardize": ["x"],
+    "minmax_scale": ["x"],
+    "db_scale": ["x"],
+    "band_energies": ["bands"],
+    "rf_flow": ["xt", "v", "x0"],
+    "cfg_combine": ["independent", "alternating"],
+    "trim_seconds": ["x"],
+    "rf_interpolate": ["x"],
+    "rf_velocity": ["x"],
+    "rf_x0": ["x"],
+}
+FLAGS = {"patch_mask": ["m"]}
+STRINGS = {"caption_candidates": ["candidates"], "manifest_rows": ["caption"]}
+
+
+def _as_text(name, run):
+    def wrapped(spark, d):
+        df = run(spark, d)
+        for c in NUMBERS.get(name, []):
+            # + 0.0 makes a negative zero plain
+            df = df.withColumn(c, F.array_join(F.transform(c, lambda v: F.format_string("%.9f", F.round(v, 9) + 0.0)), ","))
+        for c in FLAGS.get(name, []):
+            df = df.withColumn(c, F.array_join(F.transform(c, lambda v: v.cast("string")), ","))
+        for c in STRINGS.get(name, []):
+            df = df.withColumn(c, F.array_join(c, "|"))
+        return df
+
+    return wrapped
+
+
+def _as_text_sql(name, sql):
+    parts = [f"array_to_string(list_transform({c}, lambda v: printf('%.9f', round(v, 9) + 0.0)), ',') AS {c}" for c in NUMBERS.get(name, [])]
+    parts += [f"array_to_string(list_transform({c}, lambda v: CAST(v AS VARCHAR)), ',') AS {c}" for c in FLAGS.get(name, [])]
+    parts += [f"array_to_string({c}, '|') AS {c}" for c in STRINGS.get(name, [])]
+    return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql.strip()})" if parts else sql
 
 
 def queries():
-    found = {}
-    for m in MODULES:
-        found |= m.queries()
-    return found
+    return {name: _as_text(name, run) for m in MODULES for name, run in m.queries().items()}
 
 
 def oracle_sql():
-    found = {}
-    for m in MODULES:
-        found |= m.oracle_sql()
-    return found
+    return {name: _as_text_sql(name, sql) for m in MODULES for name, sql in m.oracle_sql().items()}

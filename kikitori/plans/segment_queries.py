@@ -129,9 +129,12 @@ def q_rollup(spark, d):
     return segs(spark, d).groupBy("diar_id").agg(F.count_distinct("speaker").alias("num_speakers"), F.max("b").alias("extent"), F.count(F.lit(1)).alias("n"))
 
 
-@book.query("sink_json_doc", SEG + "SELECT diar_id, list(struct_pack(a := round(a, 3), b := round(b, 3), speaker := speaker) ORDER BY a, b, speaker) AS segments FROM seg GROUP BY 1")
+@book.query("sink_json_doc", SEG + """SELECT diar_id, '[' || string_agg('{"speaker":"' || speaker || '","start":' || printf('%.3f', a) || ',"end":' || printf('%.3f', b) || '}', ',' ORDER BY a, b, speaker) || ']' AS segments FROM seg GROUP BY 1""")
 def q_docs(spark, d):
-    return segs(spark, d).groupBy("diar_id").agg(F.array_sort(F.collect_list(F.struct(F.bround("a", 3).alias("a"), F.bround("b", 3).alias("b"), "speaker"))).alias("segments"))
+    one = F.struct(F.bround("a", 3).alias("a"), F.bround("b", 3).alias("b"), "speaker")
+    text = lambda s: F.format_string('{"speaker":"%s","start":%.3f,"end":%.3f}', s["speaker"], s["a"], s["b"])
+    g = segs(spark, d).groupBy("diar_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    return g.select("diar_id", F.concat(F.lit("["), F.array_join(F.transform("s", text), ","), F.lit("]")).alias("segments"))
 
 
 _WORDS = """WITH w AS (SELECT transcript_id AS rec, s.start_s AS a, s.end_s AS b, s.text AS t, i FROM (SELECT transcript_id, unnest(segments) AS s, generate_subscripts(segments, 1) AS i FROM transcripts) WHERE s.text <> '' AND s.end_s > s.start_s)"""
@@ -251,9 +254,9 @@ def q_accum(spark, d):
     return losses(spark, d).groupBy(F.floor(F.col("row_id") / 8).alias("step")).agg(F.round(F.avg("loss"), 9).alias("loss"))
 
 
-@book.query("moving_average", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS moving FROM orders")
+@book.query("moving_average", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 8) AS moving FROM orders")
 def q_moving(spark, d):
-    return X.moving_average(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice").select("o_orderkey", F.round("moving", 4).alias("moving"))
+    return X.moving_average(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice").select("o_orderkey", F.round("moving", 8).alias("moving"))
 
 
 @book.query("throughput", "WITH x AS (SELECT user_id, event_id, epoch(ts) AS t FROM events), y AS (SELECT *, (event_id - lag(event_id) OVER w) / greatest(t - lag(t) OVER w, 1e-6) AS r FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id, round(r, 4) AS steps_per_s, round(r * 32, 4) AS samples_per_s, round(event_id * 100.0 / 1000000, 6) AS percent FROM y")
