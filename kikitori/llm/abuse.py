@@ -126,7 +126,16 @@ def _tables():
 _APART = re.compile(r"(?<![a-z0-9@$])(?:[a-z0-9@$][ .·・-])+[a-z0-9@$](?![a-z0-9@$])")
 _BETWEEN = re.compile(r"(?<=[ぁ-ヺ一-鿿○])[ .·・]+(?=[ぁ-ヺ一-鿿○])")
 _LONG = re.compile(r"([a-z])\1\1+")
-_LEETWORD = re.compile(r"(?=[0-9@$!]*[a-z])(?=[a-z]*[0-9@$!])[a-z0-9@$!]{2,}|(?<=[a-z0-9@$] )[0-9][a-z]|\b[0o]f\b")
+_MIXED = re.compile(r"[a-z0-9@$!]{2,}")
+
+
+def _unleet(h: str) -> str:
+    """Digits and signs as letters in words that mix both, and in the words next to one."""
+    words = [(m.group(), any(c.isalpha() for c in m.group())) for m in _MIXED.finditer(h)]
+    if not any(alpha and not w.isalpha() for w, alpha in words):
+        return h
+    return _MIXED.sub(lambda m: m.group().translate(_LEET) if any(c.isalpha() for c in m.group()) else m.group(), h)
+
 
 
 def skeleton(text: str) -> str:
@@ -237,7 +246,7 @@ def score_text(text: str | None) -> tuple[float, float, float]:
     auto = automaton()
     hits = list(auto.iter(h))
     if re.search(r"[a-z][0134578@$!]|[0134578@$!][a-z]", h):
-        t = _LEETWORD.sub(lambda m: m.group().translate(_LEET), h)
+        t = _unleet(h)
         hits += [x for x in auto.iter(t) if x not in hits]
         h = t
     if not hits and " out of " not in h:

@@ -57,3 +57,8 @@ def test_every_row_is_scored(spark):
     assert s.count() == 8
     assert sorted((r.row_id, r.field_name, r.category) for r in found_categories(s, "row_id").collect()) == [(1, "text", "abuse"), (1, "text", "abuse"), (2, "caption", "sexual"), (3, "text", "abuse")]
     assert score_content(df.where("false"), "row_id", "text", "caption").count() == 0
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000 + " b1", "1" * 200_000 + " b1 x", "[" + " " * 200_000, "a " * 100_000])
+def test_long_runs_are_read_in_linear_time(text):
+    assert max(score_text(text)) < 1.0
