@@ -185,9 +185,9 @@ def byte_tokens(text: Column, vocabulary: int = 256) -> Column:
     """UTF-8 bytes as ids, the start id first (0 for 256 ids, else the last one)."""
     if vocabulary < 256:
         raise ValueError("a byte vocabulary has at least 256 ids")
-    h = F.hex(F.encode(text, "UTF-8"))
     n = F.octet_length(text)
-    ids = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
+    ids = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
     start = F.array(F.lit(0 if vocabulary == 256 else vocabulary - 1))
     return F.when(n > 0, F.concat(start, ids)).otherwise(start)
 
@@ -197,7 +197,8 @@ def pad_truncate(ids: Column, length: int, pad: int = 0) -> Column:
 
 
 def pad_mask(ids: Column, length: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: i <= F.size(ids))
+    n = F.least(F.size(ids), F.lit(length))
+    return F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), F.lit(length) - n))
 
 
 def caption_candidates(captions: Column) -> Column:
