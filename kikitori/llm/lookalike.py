@@ -147,15 +147,26 @@ def lookalike_pairs(values: DataFrame) -> DataFrame:
     return a.join(b, ["field_name", "canonical"]).where("value_a < value_b").select("field_name", "value_a", "value_b")
 
 
-def canonicalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``df`` with each string column in one consistent form: values with look-alikes become their class's canonical
-    member, all others stay. Only changed values are joined, and the usual spelling of a frequent value is canonical."""
-    for c in columns:
-        changed = (
-            lookalike_classes(stored_values(df, [c]))
-            .where("value <> canonical")
-            .select(F.col("value").alias("__value"), F.col("canonical").alias("__canonical"))
-        )
+def _changed(values: DataFrame) -> DataFrame:
+    """__value, __canonical of the values that aren't their class's canonical member."""
+    return lookalike_classes(values).where("value <> canonical").select(F.col("value").alias("__value"), F.col("canonical").alias("__canonical"))
+
+
+def _canonical_arrays(df: DataFrame, column: str) -> DataFrame:
+    """__value, __canonical for every distinct array with an element to change: the same length and order, nulls kept."""
+    elements = df.select(F.col(column).alias("__array")).where("__array IS NOT NULL").distinct().select("__array", F.posexplode("__array").alias("__at", "__element"))
+    mapped = elements.join(_changed(stored_values(df, [], [column])), F.col("__element") == F.col("__value"), "left")
+    entry = F.struct("__at", F.coalesce("__canonical", "__element").alias("x"))
+    rebuilt = mapped.groupBy("__array").agg(F.array_sort(F.collect_list(entry)).alias("__entries"), F.count("__canonical").alias("__n"))
+    return rebuilt.where("__n > 0").select(F.col("__array").alias("__value"), F.transform("__entries", lambda e: e["x"]).alias("__canonical"))
+
+
+def canonicalize(df: DataFrame, columns: Sequence[str], arrays: Sequence[str] = ()) -> DataFrame:
+    """``df`` with each string column, and each element of the array columns, in one consistent form: values with look-alikes
+    become their class's canonical member, all others stay. Only changed values are joined, and the usual spelling of a
+    frequent value is canonical."""
+    for c in (*columns, *arrays):
+        changed = _canonical_arrays(df, c) if c in arrays else _changed(stored_values(df, [c]))
         df = df.join(changed, F.col(c) == F.col("__value"), "left")
         df = df.withColumn(c, F.coalesce("__canonical", c)).drop("__value", "__canonical")
     return df

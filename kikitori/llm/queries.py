@@ -161,6 +161,11 @@ def p5_canonical_speakers(spark: SparkSession, d: str) -> DataFrame:
     return canonicalize(m, ["speaker_id"]).groupBy("speaker_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def p5_canonical_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of manifest, with text, captions and speaker in their consistent form."""
+    return canonicalize(table(spark, d, "manifest"), ["text", "speaker_id"], ["caption"])
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     return score_content(table(spark, d, "manifest"), "row_id", "text", "caption")
 
@@ -254,6 +259,7 @@ def queries():
         "p5_found": p5_found,
         "p5_classes": p5_classes,
         "p5_canonical_speakers": p5_canonical_speakers,
+        "p5_canonical_manifest": p5_canonical_manifest,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
         "p8_packed": p8_packed,

@@ -68,3 +68,13 @@ def test_columns_of_the_same_name_dont_meet(spark):
     df = spark.createDataFrame([("ﾊ", "ハ")], "text string, speaker_id string")
     assert lookalike_pairs(stored_values(df, ["text", "speaker_id"])).count() == 0
     assert F is not None
+
+
+def test_canonical_rows_of_manifest(spark, tmp_path):
+    from kikitori.llm.queries import queries
+
+    rows = [(1, "ﾊﾙﾀ", ["b", None, "ﾊﾙﾀ", "a", "ﾊﾙﾀ"], "ｃａｆé"), (2, "ハルタ", ["ハルタ"], "café"), (2, "ハルタ", ["ハルタ"], "café"), (3, None, None, None), (4, "x", [], "y"), (5, "ﾊﾙﾀ", ["ﾊﾙﾀ"], None)]
+    spark.createDataFrame(rows, "row_id bigint, text string, caption array<string>, speaker_id string").write.parquet(f"{tmp_path}/manifest.parquet")
+    got = sorted(((r.row_id, r.text, r.caption, r.speaker_id) for r in queries()["p5_canonical_manifest"](spark, str(tmp_path)).collect()), key=lambda r: r[0])
+    want = [(1, "ハルタ", ["b", None, "ハルタ", "a", "ハルタ"], "café"), (2, "ハルタ", ["ハルタ"], "café"), (2, "ハルタ", ["ハルタ"], "café"), (3, None, None, None), (4, "x", [], "y"), (5, "ハルタ", ["ハルタ"], None)]
+    assert got == want
