@@ -104,3 +104,18 @@ def test_average_linkage_against_definition(spark):
     assert sorted(sorted(np.flatnonzero(labels == k).tolist()) for k in set(labels)) == upgma(x, 0.7)
     df = spark.createDataFrame([(i % 2, i, x[i].tolist()) for i in range(30)], "b int, i int, x array<double>")
     assert C.cluster_blocks(df, "b", "i", "x", 0.7).count() == 30
+
+
+def test_linkage_in_linear_memory(spark):
+    rng = np.random.default_rng(8)
+    for n, width, t in ((1, 3, 0.7), (40, 4, 0.3), (60, 5, 0.7), (80, 3, 1.1), (50, 6, 3.0)):
+        x = rng.normal(size=(n, width))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert C.linkage_below(x, t).tolist() == C.average_linkage(x, t).tolist()
+    same = np.tile(x[:5], (4, 1))
+    assert C.linkage_below(same, 1e-9).tolist() == [0, 1, 2, 3, 4] * 4
+    # clusters join vectors of different labels, and more than 4,000 vectors are clustered
+    df = spark.createDataFrame([(f"spk{i}", i, x[i % 3].tolist()) for i in range(6)], "label string, vec_id int, x array<double>")
+    got = {r.vec_id: r.cluster for r in C.cluster_all(df, "label", "vec_id", "x", 1e-6).collect()}
+    assert got == {i: i % 3 for i in range(6)}
+    assert C.linkage_below(np.tile(x[:2], (2100, 1)), 1e-9).tolist() == [0, 1] * 2100
