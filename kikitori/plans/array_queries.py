@@ -49,6 +49,14 @@ def q_pairs(spark, d):
     return q.join(e, ["label", "salt"]).where("a <> vec_id").select("a", F.col("vec_id").alias("b"), F.round(1 - A.dot(F.col("y"), F.col("x")), 6).alias("distance"))
 
 
+@book.query("pairwise_cosine_all", E_SQL + ", q AS (SELECT * FROM e WHERE vec_id % 20 = 0) SELECT q.vec_id AS a, e.vec_id AS b, round(1 - list_dot_product(q.x, e.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(e.x, e.x))), 6) AS distance FROM q JOIN e ON q.vec_id <> e.vec_id")
+def q_pairs_all(spark, d):
+    # against all rows, whatever their label; the queries are copied to each salt
+    e = vectors(spark, d).select("vec_id", A.l2_normalize(F.col("x")).alias("x")).withColumn("salt", hash_bucket(F.col("vec_id"), buckets=SALTS))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return q.join(e, "salt").where("a <> vec_id").select("a", F.col("vec_id").alias("b"), F.round(1 - A.dot(F.col("y"), F.col("x")), 6).alias("distance"))
+
+
 @book.query("cluster_embeddings")
 def q_cluster(spark, d):
     # label is the original speaker, which clustering is to correct: all vectors stand in one tree

@@ -119,3 +119,15 @@ def test_linkage_in_linear_memory(spark):
     got = {r.vec_id: r.cluster for r in C.cluster_all(df, "label", "vec_id", "x", 1e-6).collect()}
     assert got == {i: i % 3 for i in range(6)}
     assert C.linkage_below(np.tile(x[:2], (2100, 1)), 1e-9).tolist() == [0, 1] * 2100
+
+
+def test_distances_to_all_labels(spark, tmp_path):
+    from kikitori.plans import array_queries
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 64)).astype(np.float32)
+    spark.createDataFrame([(i, f"spk{i % 7}", x[i].tolist()) for i in range(60)], "vec_id bigint, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b): r.distance for r in array_queries.queries()["pairwise_cosine_all"](spark, str(tmp_path)).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert set(got) == {(a, b) for a in (0, 20, 40) for b in range(60) if a != b}
+    assert all(abs(got[a, b] - (1 - u[a] @ u[b])) < 2e-6 for a, b in got)
