@@ -62,6 +62,21 @@ def q_piped(spark, d):
     return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@book.query("sink_csv_all", "SELECT latent_path AS file_name, text AS transcription FROM manifest WHERE text IS NOT NULL")
+def q_csv_all(spark, d):
+    to = place(spark, "csv")
+    m = table(spark, d, "manifest").where("text IS NOT NULL")
+    W.write_clips(m.select(F.col("latent_path").alias("file_name"), F.col("text").alias("transcription")), to)
+    return R.read_clips(spark, to)
+
+
+@book.query("csv_to_arrow_all", "SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM manifest WHERE text IS NOT NULL")
+def q_piped_all(spark, d):
+    to = place(spark, "piped")
+    W.write_piped(table(spark, d, "manifest").where("text IS NOT NULL"), to, "latent_path", "text")
+    return R.read_piped(spark, to).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 @book.query("union_shards", "SELECT row_id % 4 AS rank, count(*) AS n, min(row_id) AS first, max(row_id) AS last FROM manifest GROUP BY 1")
 def q_shards(spark, d):
     to = place(spark, "shards")

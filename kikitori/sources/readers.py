@@ -84,8 +84,16 @@ def read_diarization(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("audio_file", F.posexplode("segments").alias("pos", "s")).select("audio_file", "pos", "s.*")
 
 
+#: as the writers quote; "" is an empty text and nothing at all is null, so the value for null must be no text: a noncharacter
+CSV = {"header": True, "multiLine": True, "escape": '"', "lineSep": "\n", "nullValue": "\ufdd0"}
+
+
 def read_clips(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("file_name STRING, transcription STRING").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.schema("file_name STRING, transcription STRING").options(**CSV).csv(path)
+
+
+def read_piped(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("audio_file STRING, text STRING").options(**CSV, sep="|").csv(path)
 
 
 def wav_seconds(content: Column) -> Column:

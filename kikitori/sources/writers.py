@@ -11,13 +11,17 @@ def write_manifest(df: DataFrame, folder: str) -> None:
     df.write.option("ignoreNullFields", True).json(folder)
 
 
+#: every text comes back as it was: quotes doubled, outer blanks and line ends of any kind kept; null is nothing, empty text is ""
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+
+
 def write_clips(df: DataFrame, folder: str) -> None:
-    df.write.option("header", True).option("escape", '"').csv(folder)
+    df.write.options(**CSV).csv(folder)
 
 
 def write_piped(df: DataFrame, folder: str, file_name: str, text: str) -> None:
     """``audio_file|text`` for a second trainer."""
-    df.select(F.col(file_name).alias("audio_file"), F.col(text).alias("text")).write.option("header", True).option("sep", "|").csv(folder)
+    df.select(F.col(file_name).alias("audio_file"), F.col(text).alias("text")).write.options(**CSV).option("sep", "|").csv(folder)
 
 
 def latent_name(written: Column, idx: Column, rank: Column | None = None, world: int = 1) -> Column:

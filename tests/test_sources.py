@@ -70,3 +70,12 @@ def test_settings():
         config.check_ranges(Settings(), {"ratio": (0.2, None)})
     assert config.load_mapping("") == {} and config.keep_policy(True, 3) == 1 and config.keep_policy(False, 3) == 4
     assert config.shard_strategy("auto", True) == "contiguous"
+
+
+def test_clips_of_any_text_come_back(spark, tmp_path):
+    texts = ["", " ", " outer blanks ", "a, b", 'she said "no"', '"', '""', "a|b", "two\nlines", "one\rline", "both\r\nends", "back\\slash", '\\"', "#note", "\ttab\t", "ｱ😀", "「括弧」", "null", "file_name", "\u2028", "\x00", None]
+    df = spark.createDataFrame([(f"{i:02d}.pt", t) for i, t in enumerate(texts)], "file_name string, transcription string").coalesce(1)
+    W.write_clips(df, f"{tmp_path}/clips")
+    W.write_piped(df, f"{tmp_path}/piped", "file_name", "transcription")
+    for back in (R.read_clips(spark, f"{tmp_path}/clips"), R.read_piped(spark, f"{tmp_path}/piped")):
+        assert [r[1] for r in sorted(back.collect())] == texts
