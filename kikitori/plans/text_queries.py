@@ -88,6 +88,11 @@ def q_brackets(spark, d):
     return m.select("row_id", T.strip_outer_brackets(F.concat(F.lit("「『"), "text", F.lit("』」"))).alias("peeled"))
 
 
+@book.query("strip_outer_brackets_all")
+def q_brackets_all(spark, d):
+    return table(spark, d, "manifest").select("row_id", T.strip_outer_brackets(F.col("text")).alias("peeled"))
+
+
 @book.query("sanitize_id")
 def q_sanitize(spark, d):
     return table(spark, d, "manifest").select("row_id", T.sanitize_id(F.col("speaker_id"), "none").alias("component"))
@@ -174,6 +179,11 @@ def q_float(spark, d):
     return m.select("row_id", T.parse_optional_float(F.col("speaker_id")).alias("v"))
 
 
+@book.query("parse_optional_float_all")
+def q_float_all(spark, d):
+    return table(spark, d, "manifest").select("row_id", T.parse_optional_float(F.col("speaker_id")).alias("v"))
+
+
 @book.query("resolve_path", "SELECT row_id, CASE WHEN starts_with(latent_path, '/') THEN latent_path ELSE '/data/manifest/' || latent_path END AS path FROM manifest")
 def q_resolve(spark, d):
     p = F.col("latent_path")

@@ -68,3 +68,37 @@ def test_captions_and_floats(spark):
     hz = spark.createDataFrame([(165.0,), (85.0,), (84.9,), (float("nan"),), (None,)], "h double")
     assert [r[0] for r in hz.select(T.f0_bucket(F.col("h"))).collect()] == ["high", "mid", "low", "", ""]
     assert T.index_name("caption") == ".index" and T.index_name("my key") == ".index.my_key"
+
+
+def test_floats_and_brackets_of_all_rows(spark, tmp_path):
+    import math
+
+    from kikitori.plans import text_queries
+
+    def number(raw):
+        s = (raw or "").strip().lower()
+        try:
+            v = float(s)
+        except ValueError:
+            return None
+        return v if math.isfinite(v) else None
+
+    pairs = {"「": "」", "『": "』", "（": "）", "【": "】", "(": ")"}
+
+    def peeled(t):
+        while t and len(t) > 1 and pairs.get(t[0]) == t[-1]:
+            depth, ends = 0, []
+            for i, ch in enumerate(t):
+                depth += (ch == t[0]) - (ch == t[-1])
+                ends += [i] if depth == 0 else []
+            if not ends or ends[0] != len(t) - 1:
+                break
+            t = t[1:-1]
+        return t
+
+    ids = ["1.5", " 2 ", "1d", "2f", "1e3", "-.5", "5.", "１２", "1_000", "1__0", "nan", "inf", "none", "OFF", "SPK_01", "0x10", "1e999", "", None, "話者", "1 2"]
+    texts = ["「全部」", "「甲」と「乙」", "「『中』」", "（（二重））", "「開く", "閉じる」", "(a)(b)", "【「x」】", "「」", "「", "", None, "plain", "「a（b」", "『「』」", "((a)", "「「a」", " 「a」", "a「b」", "（x)", "「改\n行」"]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(zip(ids, texts, strict=True))], "row_id int, speaker_id string, text string").write.parquet(f"{tmp_path}/manifest.parquet")
+    q = text_queries.queries()
+    assert [r.v for r in q["parse_optional_float_all"](spark, str(tmp_path)).orderBy("row_id").collect()] == [number(x) for x in ids]
+    assert [r.peeled for r in q["strip_outer_brackets_all"](spark, str(tmp_path)).orderBy("row_id").collect()] == [peeled(t) for t in texts]
