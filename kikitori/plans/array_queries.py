@@ -159,6 +159,12 @@ def q_lut(spark, d):
     return table(spark, d, "embeddings").where("vec_id < 500").select("vec_id", A.lut_map(v, [(0.0, 0), (0.25, 79), (0.5, 182), (1.0, 252)]).alias("red"))
 
 
+@book.query("lut_map_all", "WITH i AS (SELECT vec_id, floor((vec_id % 500) * 255 / 499.0) / 255.0 AS v FROM embeddings) SELECT vec_id, CASE WHEN v <= 0.25 THEN 0 + CAST(trunc(v / 0.25 * 79) AS INTEGER) WHEN v <= 0.5 THEN 79 + CAST(trunc((v - 0.25) / 0.25 * 103) AS INTEGER) ELSE 182 + CAST(trunc((v - 0.5) / 0.5 * 70) AS INTEGER) END AS red FROM i")
+def q_lut_all(spark, d):
+    v = F.col("vec_id") % 500 / 499.0
+    return table(spark, d, "embeddings").select("vec_id", A.lut_map(v, [(0.0, 0), (0.25, 79), (0.5, 182), (1.0, 252)]).alias("red"))
+
+
 @book.query("speech_end", E_SQL + ", w AS (SELECT vec_id, x, unnest(range(0, 13)) AS k FROM e), l AS (SELECT vec_id, 64 - k * 5 AS e, x[greatest(64 - k * 5 - 5, 0) + 1 : 64 - k * 5] AS s FROM w) SELECT vec_id, coalesce(max(e) FILTER (sqrt(list_sum(list_transform(s, lambda v: v * v)) / len(s)) > 0.177827941), 64) AS speech_end FROM l GROUP BY 1")
 def q_speech_end(spark, d):
     return vectors(spark, d).select("vec_id", A.speech_end(F.col("x"), 250, -15.0).cast("bigint").alias("speech_end"))

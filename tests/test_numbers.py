@@ -131,3 +131,12 @@ def test_distances_to_all_labels(spark, tmp_path):
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     assert set(got) == {(a, b) for a in (0, 20, 40) for b in range(60) if a != b}
     assert all(abs(got[a, b] - (1 - u[a] @ u[b])) < 2e-6 for a, b in got)
+
+
+def test_lookup_of_all_rows(spark, tmp_path):
+    from kikitori.plans import array_queries
+
+    ids = [0, 1, 124, 250, 499, 500, 501, 1999, 19_999]
+    spark.createDataFrame([(i,) for i in ids], "vec_id bigint").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.red for r in array_queries.queries()["lut_map_all"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == ids and got[500] == got[0] == 0 and got[501] == got[1] and got[499] == got[1999] == got[19_999] == 252
