@@ -1,108 +1,252 @@
 """Abusive, hateful and sexual content: a weighted finite-state pattern grammar.
 
-Three stages, each a finite-state device, are composed:
+A text is brought to its skeleton by a spelling stage (width, invisible characters, look-alikes, katakana as hiragana, case,
+long-vowel padding, letters spelt apart, digits for letters). A lexical automaton with one-symbol masks (``*`` or ``○`` for
+any one character) finds candidate words; a sentence with candidates becomes a string of lexical symbols. On that string four
+weighted transducers work, composed into one machine for each category (:mod:`kikitori.llm.fst`):
 
-1. a spelling transducer brings a text to its skeleton (width, invisible characters, look-alikes, katakana as hiragana,
-   case, long-vowel padding, letters spelt apart, digits for letters);
-2. a lexical transducer (an Aho-Corasick automaton over the lexicon composed with a one-symbol mask edit: ``*`` or ``○`` for
-   any one character) turns the skeleton into symbols: insults, threats, dismissals, devaluing phrases, groups, degrading
-   phrases, sexual phrases; longer harmless words block what they contain;
-3. clause transducers read the symbols of a sentence with those of its context (who is addressed, comparison, copula,
-   naming, scorn, negation, reported or rehearsed speech) and add up weights along the best path.
+1. target: who is meant. Insults a speaker turns on himself are dropped, pronouns take the group named before them;
+2. clauses: insult, threat, hate or sexual clauses, each written as one clause symbol, whatever else is read passed on;
+3. negation: a clause symbol in the scope of a negation (up to the next border in English, right behind it in Japanese)
+   is deleted;
+4. reported speech: clauses that are quoted as said to somebody, forbidden, condemned, explained or rehearsed are deleted.
+   The machine guesses at the start of a sentence whether such a report follows and must be proved right.
+
+What survives adds up its weights along the best path, so clauses are scored, never isolated words. Weights start from fixed
+values and are fitted to reviewers' verdicts (:func:`fit_weights`).
 
-A sentence scores by its matched clauses, never by an isolated word: an insult word alone stays below the threshold.
 Defined results: null and empty texts score 0 in every category; every row gets a score; an array scores the highest of its
 elements; repeated rows score alike; texts are read whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kikitori.llm import abuse_lexicon as L
+from kikitori.llm.fst import BestPath, Composition, Fst, concat, star, symbols, union, without_empty, writes
+
 CATEGORIES = ("abuse", "hate", "sexual")
 THRESHOLD = 1.0
+FIT_LABELS = 3000  # most labels that weights are fitted to
+FIT_STEPS, FIT_RATE, FIT_PRIOR, FIT_NOISE = 200, 0.05, 0.3, 0.05
 
-# fixed values: the moderation lexicon, by lexical symbol; what is found here is a candidate, the clause decides
-LEXICON = {
-    "insult": "バカ アホ クズ カス マヌケ ゴミ野郎 ブタ野郎 クソ野郎 能なし 能無し 役立たず ろくでなし 出来損ない 間抜け 馬鹿 阿呆 負け犬 無能",
-    "insult_en": "idiot|moron|stupid pig|worthless scum|pathetic loser|piece of garbage|scumbag|imbecile|dumbass|piece of trash|loser|scum",
-    "dismiss": "死ね 消えろ 失せろ くたばれ 地獄に落ちろ 口を開くな 黙れ 二度と来るな",
-    "dismiss_en": "shut your mouth|get lost|go and die|go to hell|drop dead|kill yourself",
-    "devalue": "生きてる価値 生きている価値 生まれてこなければよかった 誰も必要としてない 陰で笑って 吐き気がする 人前に出るな 二度と見たくない 俺が間違いだった いなくなればいい",
-    "devalue_en": "would miss you if you vanished|everybody hates you|nobody likes you|nobody wants",
-    "threat": "へし折って ぶん殴って ぶっ殺し ぶっ殺す 殺して 骨の一本 覚悟しとけ 覚悟しろ ただじゃおかない 痛い目 待ってるからな 首を絞めて",
-    "threat_en": "break your neck|smash your teeth|smash your face|i will kill you|break your legs|cut your throat",
-    "degrade": "害虫 人間以下 人間じゃない 下等な 根絶やし 出て行け 雇うな 盗人 血は汚れ 同じ空気は吸いたくない 追い払え 檻に入れ 頭が悪い 投票権 付き合うな 病気がうつる 入れるな 皆殺し 劣った",
-    "degrade_en": "subhuman|vermin|drive them out|wiped out|carry filth|are filth|exterminated|are animals|born thieves|an inferior race|are parasites",
-    "explicit": "セックス 絶頂に達 全裸 愛撫 胸を揉 抱かせて 裸のまま絡み合 イかせて 下着の中に 裸を想像 首筋から下へ 中に欲しい 服を全部脱 性行為",
-    "explicit_en": "have sex|having sex|for sex|stripped and fondled|into my underwear|lick me|until i come|take off your clothes|blowjob",
-    "sexual": "喘ぐ 喘いで 喘ぎ エロい エロ声 成人向け 腰が跳ね 裸の",
-    "sexual_en": "sex|naked|ride me|fondled|moans|moaning|orgasm|adult scene",
-    "harmless": "バカンス 馬鹿正直 くず湯 くず餅 くずもち くずれ かすれ かすか かすみ 動かす 明かす アホウドリ バカラ 裸足 裸眼 裸電球 喘息 死ねば 死ねない 害虫の駆除 害虫駆除 セックスレス 殺してね",
-    "harmless_en": "naked eye|essex|sussex|middlesex|assassin|cockatoo|naked, unprocessed|naked flame|sextet|the opposite sex",
-}
-# fixed values: context symbols (regular expressions over the skeleton), read only around candidates
-CONTEXT = {
-    "you": r"おまえ|お前|てめえ|貴様|きさま|\byou\b|\byour\b",
-    "points": r"この|あの|その|黙れ|どうせ|本当に|ただの|って|what an?\b|みたいな|のような",
-    "copula": r"だよね|だよな|だな|なんだから|なんだ|め$|め[、。]|が$|が!|\bare\b|\bis\b",
-    "names": r"と罵|呼ばわり|扱いして|扱いし",
-    "scorn": r"見下|蔑|罵|嘲|吐き捨て|怒鳴|憎し",
-    "anaphor": r"あいつら|こいつら|あんな.{0,4}連中|\bthem\b|\bthey\b",
-    "acts": r"やる|やろうか|やるぞ|\bi will\b",
-    "wants": r"したい|最中|まま|ねだ|漏らす|囁き|喘|欲しい|脱|声|場面|触って|\bhave\b|\bbed\b|\bbegging\b|\bnight\b|吐息|興奮",
-    "rehearsed": r"稽古|呪文|台詞|芝居|演目|という語|という言葉の意味|spell\b|rehears",
-    "denied": r"言ってはいけない|言わないで|許されない|許しません|差別をなくそう|に抗議|\bmust not say\b|\bnever call\b|\bis wrong to\b",
-}
-# fixed values: groups of people; peoples and faiths by their endings
-GROUPS = r"移民|外国人|障害者|よそ者|異教徒|[東西南北]の連中|[ぁ-ん]{2,8}(?:人|族|教徒)|immigrants|foreigners|outsiders|refugees|disabled people|the disabled|\b[a-z]{3,12}(?:ites|ans|ish people|ese)\b"
-
-#: clause transducers: (category, symbols that must follow each other with anything between, weight). A symbol in
-#: parentheses may stand anywhere in the sentence.
+#: clauses: category, name, pattern over lexical symbols, weight before fitting. ``_`` is a gap within the clause, ``__`` one
+#: that may cross a comma, ``?`` marks what may be missing, ``^`` the start of a sentence, ``$`` its end.
 CLAUSES = (
-    ("abuse", ("insult",), 0.4),
-    ("abuse", ("points", "insult"), 0.6),
-    ("abuse", ("insult", "copula"), 0.5),
-    ("abuse", ("you", "insult"), 0.6),
-    ("abuse", ("insult", "you"), 0.4),
-    ("abuse", ("insult", "names"), 0.8),
-    ("abuse", ("insult", "dismiss"), 0.7),
-    ("abuse", ("dismiss", "insult"), 0.7),
-    ("abuse", ("insult", "devalue"), 0.7),
-    ("abuse", ("dismiss",), 0.5),
-    ("abuse", ("dismiss_called",), 0.6),
-    ("abuse", ("you", "dismiss"), 0.5),
-    ("abuse", ("dismiss", "scorn"), 0.3),
-    ("abuse", ("devalue",), 1.0),
-    ("abuse", ("threat",), 0.5),
-    ("abuse", ("threat", "acts"), 0.6),
-    ("abuse", ("threat", "threat"), 0.6),
-    ("abuse", ("threat_en_full",), 1.0),
-    ("hate", ("degrade",), 0.35),
-    ("hate", ("group", "degrade"), 0.7),
-    ("hate", ("degrade", "group"), 0.7),
-    ("hate", ("anaphor", "degrade"), 0.7),
-    ("hate", ("degrade", "anaphor"), 0.5),
-    ("hate", ("degrade", "degrade"), 0.2),
-    ("hate", ("keep_out",), 1.0),
-    ("sexual", ("explicit",), 1.0),
-    ("sexual", ("sexual",), 0.7),
-    ("sexual", ("sexual", "sexual"), 0.5),
-    ("sexual", ("sexual", "wants"), 0.4),
-    ("sexual", ("wants", "sexual"), 0.4),
-    ("abuse", ("rehearsed",), -1.0),
-    ("hate", ("rehearsed",), -1.0),
-    ("abuse", ("denied",), -1.5),
-    ("hate", ("denied",), -1.5),
-    ("sexual", ("denied",), -1.5),
+    ("abuse", "you_insult", "YOU _ INS", 1.1),
+    ("abuse", "you_weak", "YOU COP|IS|LIKE|TOP|THIS? ADJ? INSW", 1.05),
+    ("abuse", "you_such_insult", "YOU IS|THIS? ADJ|DEGW BND ADJ? INS", 1.1),
+    ("abuse", "you_bad_thing", "YOU _ ADJ INSW", 1.05),
+    ("abuse", "adjective_you", "ADJ _ COP BND? YOU", 1.0),
+    ("abuse", "such_insult", "GANA INS", 1.05),
+    ("abuse", "you_adjective", "YOU IS|TOP|LIKE|BND? ADJ", 1.05),
+    ("abuse", "you_far_adjective", "YOU IS|TOP|LIKE|BND? x ADJ", 0.7),
+    ("abuse", "insult_you", "INS BND? YOU", 1.0),
+    ("abuse", "this_insult", "THIS ADJ? INS CALL|$|BND", 1.1),
+    ("abuse", "this_is", "THIS _ INS _ HE|x IS|$", 1.0),
+    ("abuse", "insult_end", "INS CALL", 1.1),
+    ("abuse", "insult_rank", "INS|INSW KUSE", 1.05),
+    ("abuse", "topic_insult", "TOP|LIKE BND? INS COP|RHET|$", 1.05),
+    ("abuse", "is_insult", "IS ADJ? INS", 1.05),
+    ("abuse", "he_insult", "HE IS|TOP? THIS? ADJ? INS", 1.05),
+    ("abuse", "he_far_insult", "HE _ INS", 0.8),
+    ("abuse", "he_adjective", "HE IS|TOP? ADJ", 0.8),
+    ("abuse", "person_adjectives", "HE|YOU _ ADJ __ ADJ", 1.1),
+    ("abuse", "insult", "INS", 0.4),
+    ("abuse", "adjective", "ADJ", 0.2),
+    ("abuse", "insult_dismiss", "INS __ DIS|DIE", 1.2),
+    ("abuse", "dismiss_insult", "DIS|DIE __ INS", 1.2),
+    ("abuse", "insult_devalue", "INS __ DEV", 1.3),
+    ("abuse", "die_said", "^|BND|QO|YOU|LIKE|TOP DIE", 1.1),
+    ("abuse", "you_die", "YOU _ DIE", 1.1),
+    ("abuse", "die", "DIE", 0.8),
+    ("abuse", "dismiss", "DIS", 0.5),
+    ("abuse", "devalue", "DEV", 1.1),
+    ("abuse", "will_harm_you", "WILL __ THV _ YOU", 1.15),
+    ("abuse", "will_harm_person", "WILL THV HE|GANA", 1.0),
+    ("abuse", "will_hit_body", "WILL __ THVW _ YOU BODY", 1.15),
+    ("abuse", "will_hit_you", "WILL THVW YOU $|BND", 1.1),
+    ("abuse", "will_hit_you_there", "WILL THVW YOU _ BODY|FIRE", 1.1),
+    ("abuse", "will_put_you", "WILL _ PUT _ YOU _ FIRE", 1.15),
+    ("abuse", "harm_body", "THV YOU BODY", 0.6),
+    ("abuse", "threat_done", "THX", 1.1),
+    ("abuse", "threat_you", "YOU x? THY", 1.1),
+    ("abuse", "threat_object", "YOU|BODY|HE __ THW", 1.1),
+    ("abuse", "threat_phrase", "THS", 1.1),
+    ("abuse", "threat_hint", "THP", 0.55),
+    ("hate", "group_degraded", "GRP __ DEG|INS|DEV", 1.15),
+    ("hate", "group_compared", "GRP IS|TOP|LIKE? ALL|NEGP|THIS? LIKE? DEGW|ADJ|INSW", 1.1),
+    ("hate", "group_seen_as", "GRP __ DEGW", 0.75),
+    ("hate", "degraded_group", "DEG __ GRP", 0.9),
+    ("hate", "weak_group", "DEGW|ADJ GRP", 0.7),
+    ("hate", "group_excluded", "GRP __ EXC|DIE", 1.15),
+    ("hate", "excluded_group", "EXC __ GRP", 1.15),
+    ("hate", "keep_out", "KEEP|THVW _ GRP ALL? OUT", 1.15),
+    ("hate", "they_degraded", "GANA|LIKE __ DEG", 1.05),
+    ("hate", "they_excluded", "GANA __ EXC", 0.9),
+    ("hate", "degraded", "DEG", 0.35),
+    ("hate", "slur", "SLUR", 1.1),
+    ("sexual", "explicit", "S3", 1.1),
+    ("sexual", "suggestive_two", "S2 __ S2", 1.2),
+    ("sexual", "suggestive_after", "S2 __ S1", 1.1),
+    ("sexual", "suggestive_before", "S1 __ S2", 1.1),
+    ("sexual", "suggestive", "S2", 0.6),
 )
+PRIOR = {name: weight for _, name, _, weight in CLAUSES}
+_CARRIED = ("NEGS", "NEGP", "POST", "PRE", "BND", "BUT", "x", "X", "QO", "QC", "RHET", "$")
+_ALL = ("^", "$", "x", "X", "GPREV", *L.CONTEXT, "GRP", "INS", "INSW", "ADJ", "DIE", "DIS", "DEV", "THX", "THY", "THW", "THS", "THP", "THV", "THVW", "PUT", "DEG", "DEGW", "EXC", "KEEP", "SLUR", "S3", "S2", "S1")
+_COPY = {s: (s,) for s in _CARRIED}
+
+
+def _loop(f: Fst, at: int, choices: Iterable[str], write: bool = True, to: int | None = None) -> None:
+    for s in choices:
+        f.arc(at, s, (s,) if write else (), at if to is None else to)
+
+
+def target_transducer() -> Fst:
+    """Drops insults behind a speaker's own name up to the clause's border, and gives pronouns the group named before."""
+    f, every = Fst(), set(dict.fromkeys(_ALL))
+    own, group = f.state(), f.state()
+    of_self = {"INS", "INSW", "ADJ", "DIE"}
+    _loop(f, 0, every - {"SELF", "GPREV", "GRP"})
+    f.arc(0, "GRP", ("GRP",), group)
+    f.arc(0, "SELF", ("x",), own)
+    f.arc(0, "GPREV", (), group)
+    leaves = {"BND", "BUT", "YOU", "QO", "QC", "HE"}
+    _loop(f, own, every - of_self - leaves - {"SELF", "GPREV"})
+    f.arc(own, "SELF", ("x",), own)
+    for s in of_self:
+        f.arc(own, s, ("x",), own)
+    _loop(f, own, leaves, to=0)
+    _loop(f, group, every - {"GANA", "SELF", "GPREV"})
+    f.arc(group, "SELF", ("x",), group)
+    f.arc(group, "GANA", ("GRP",), group)
+    f.finals = {0, own, group}
+    return f
+
+
+def _part(item: str) -> Fst:
+    if item in ("_", "__"):
+        skip = {"$", "POST", "PRE"} | ({"X", "BND", "BUT"} if item == "_" else set())  # a report stays where it was read
+        return star(symbols([s for s in dict.fromkeys(_ALL) if s not in skip], _COPY))
+    return symbols(item.split("|"), _COPY)
+
+
+def _clause(text: str, name: str) -> Fst:
+    """A pattern that writes ``name``; one with ``?`` is the union of those with and without. The name comes before a border
+    or end that the pattern reads last."""
+    items = text.split()
+    for i, item in enumerate(items):
+        if item.endswith("?"):
+            return union(_clause(" ".join([*items[:i], item[:-1], *items[i + 1 :]]), name), _clause(" ".join(items[:i] + items[i + 1 :]), name))
+    parts = [_part(x) for x in items]
+    parts.insert(len(parts) - 1 if "$" in items[-1] or "BND" in items[-1] else len(parts), writes(name))
+    return concat(*parts)
+
+
+def clause_transducer(category: str) -> Fst:
+    """Reads a sentence as clauses of the category and other symbols; writes a clause as its name."""
+    clauses = [_clause(p, f"clause:{name}") for c, name, p, _ in CLAUSES if c == category]
+    return without_empty(star(union(*clauses, symbols(dict.fromkeys(_ALL), _COPY))))
+
+
+def _names(category: str) -> list[str]:
+    return [f"clause:{name}" for c, name, _, _ in CLAUSES if c == category]
+
+
+def negation_transducer(category: str) -> Fst:
+    """Deletes a clause behind a negation up to the next border, or right before one. A clause waits until it is known."""
+    f, names, rest = Fst(), _names(category), [s for s in _CARRIED if s not in ("NEGP", "NEGS", "BND", "BUT", "QC", "QO")]
+    denied = f.state()
+    borders = ("BND", "BUT", "QC", "QO")
+    _loop(f, 0, [*rest, *borders])
+    f.arc(0, "NEGS", (), 0)
+    f.arc(0, "NEGP", (), denied)
+    _loop(f, denied, rest)
+    _loop(f, denied, borders, to=0)
+    for s in ("NEGS", "NEGP", *names):
+        f.arc(denied, s, (), denied)
+    f.finals = {0, denied}
+    for n in names:
+        waiting = f.state()
+        f.arc(0, n, (), waiting)
+        f.arc(waiting, "NEGS", (), 0)
+        f.arc(waiting, "NEGP", (n,), denied)
+        for s in (*rest, *borders):
+            f.arc(waiting, s, (n, s), 0)
+    # a second clause while the first waits: the first stands
+    waiting_of = {a[0]: a[3] for a in f.arcs[0] if a[0] in names}
+    for n, at in waiting_of.items():
+        for m in names:
+            f.arc(at, m, (n,), waiting_of[m])
+    return f  # a sentence ends with ``$``, so nothing waits at its end
+
+
+def report_transducer(category: str) -> Fst:
+    """Deletes clauses with a report behind them, and those behind a report that comes first, up to the sentence's end."""
+    f, names = Fst(), _names(category)
+    rest = [s for s in _CARRIED if s not in ("POST", "PRE", "NEGP", "NEGS")]
+    true, reported, behind = f.state(), f.state(), f.state()
+    # 0: the sentence's start; true: no report follows; reported: one does; behind: one came first
+    for at in (0, true):
+        for s in rest:
+            f.arc(at, s, (), true)
+        for n in names:
+            f.arc(at, n, (n,), true)
+        f.arc(at, "PRE", (), behind)
+    for at in (0, reported):
+        for s in (*rest, *names, "PRE"):
+            f.arc(at, s, (), reported)
+        f.arc(at, "POST", (), 0)
+    for s in (*rest, *names, "PRE", "POST"):
+        f.arc(behind, s, (), behind)
+    f.finals = {0, true, behind}
+    return f
+
+
+def weight_transducer(category: str) -> Fst:
+    f = Fst()
+    for n in _names(category):
+        f.arc(0, n, (), 0, (n.removeprefix("clause:"),))
+    f.finals = {0}
+    return f
+
+
+@lru_cache(1)
+def machines() -> dict[str, Composition]:
+    """The composed machine of each category."""
+    return {
+        c: Composition(target_transducer(), clause_transducer(c), negation_transducer(c), report_transducer(c), weight_transducer(c)) for c in CATEGORIES
+    }
+
+
+class Grammar:
+    """The composed machines under a weight vector."""
+
+    def __init__(self, weights: Mapping[str, float] | None = None, features: bool = False) -> None:
+        self.weights = {**PRIOR, **(weights or {})}
+        self.paths = {c: BestPath(m, self.weights, features) for c, m in machines().items()}
+
+    def read(self, string: tuple[str, ...]) -> list[tuple[float, tuple[str, ...]]]:
+        own = set(string)
+        return [self.paths[c].read(string) if own & _CATEGORY_CORE[c] else (0.0, ()) for c in CATEGORIES]
+
+
+_CATEGORY_CORE = {
+    "abuse": {"INS", "INSW", "ADJ", "DIE", "DIS", "DEV", "THX", "THY", "THW", "THS", "THP", "THV", "THVW", "PUT"},
+    "hate": {"THVW", "DEG", "DEGW", "EXC", "INS", "INSW", "ADJ", "DEV", "KEEP", "SLUR", "DIE"},
+    "sexual": {"S3", "S2"},
+}
+
 
 _LOOKS = {"夕": "タ", "力": "カ", "口": "ロ", "卜": "ト", "二": "ニ", "八": "ハ", "ヘ": "へ", "ベ": "べ", "ペ": "ぺ"}
 _MASKS = "○◯●*×※"
@@ -125,8 +269,9 @@ def _tables():
 
 _APART = re.compile(r"(?<![a-z0-9@$])(?:[a-z0-9@$][ .·・-])+[a-z0-9@$](?![a-z0-9@$])")
 _BETWEEN = re.compile(r"(?<=[ぁ-ヺ一-鿿○])[ .·・]+(?=[ぁ-ヺ一-鿿○])")
+_DIGIT_WORD = re.compile(r"[a-z][0134578@$]|[0134578@$!][a-z]")
 _LONG = re.compile(r"([a-z])\1\1+")
-_MIXED = re.compile(r"[a-z0-9@$!]{2,}")
+_MIXED = re.compile(r"[a-z0-9@$!]+[a-z0-9@$]")
 
 
 def _unleet(h: str) -> str:
@@ -144,6 +289,8 @@ def skeleton(text: str) -> str:
     s = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", text).translate(drop)).lower()
     if " " in s or "." in s or "・" in s:
         s = _BETWEEN.sub("", s)
+        if ". ." in s:  # words spelt apart by points keep a point at each end
+            s = re.sub(r"(?<![.\w])([a-z])\.([a-z])(?![.\w])", r"\1\2", re.sub(r"(?<=[a-z])\. \.(?=[a-z])", "  ", s))
         s = _APART.sub(lambda m: re.sub(r"[ .·・-]", "", m.group()) if len(m.group()) > 3 else m.group(), s)
     s = _LONG.sub(r"\1", s)
     return re.sub(r" {2,}", " ", s) if "  " in s else s
@@ -159,151 +306,237 @@ def _key(word: str) -> str:
 
 @lru_cache(1)
 def automaton():
-    """The lexical transducer: lexicon entries and their one-symbol masks. Value: (symbol, length)."""
+    """The lexical automaton: core words and their one-symbol masks. Value: (symbol, length, English)."""
     import ahocorasick
 
     auto = ahocorasick.Automaton()
-    for symbol, words in LEXICON.items():
-        for word in words.split("|" if symbol.endswith("_en") else " "):
+    for symbol, words in L.CORE.items():
+        for word in words:
             key = _key(word)
             forms = {key}
-            if not symbol.startswith("harmless") and len(key) > 1:
-                forms |= {key[:i] + "○" + key[i + 1 :] for i in range(len(key)) if key[i] != " "}
+            if not symbol.startswith("HARMLESS") and len(key) > 1:
+                forms |= {key[:i] + "○" + key[i + 1 :] for i in range(len(key))} | {key[:i] + "○" + key[i:] for i in range(1, len(key))}
             for form in forms:
-                if form not in auto:
-                    auto.add_word(form, (symbol, len(form)))
+                if form not in auto or auto.get(form)[0].startswith("INSW"):
+                    auto.add_word(form, (symbol.removesuffix("_en"), len(form), symbol.endswith("_en")))
     auto.make_automaton()
     return auto
 
 
-_CONTEXT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in CONTEXT.items()))
-_GROUP = re.compile(GROUPS)
-_CALLED = re.compile(r"[、,「『][^、。,]{0,3}$|^$|[」』]$|^[^、。]{1,9}[、,]$")
-_SPLIT = re.compile(r"[。!?\n]+|(?<=[a-z])\. |\.$")
+# the skeleton has no long-vowel marks
+_CONTEXT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in L.CONTEXT.items()).replace("ー", ""))
+_GROUP = re.compile(L.GROUP.replace("ー", ""))
+_FUNCTION = re.compile(L.FUNCTION)
+_STOP = re.compile(r"[。!?\n]|(?<=[a-z0-9])\.(?= |$|[”\"」』])")
+_OPEN, _CLOSE = "「『“", "」』”"
 _KATA = re.compile("[ァ-ヺ]")
-
-
-def _symbols(s: str, hits) -> list[tuple[int, int, str]]:
-    blocks = [(e - n + 1, e + 1) for e, (sym, n) in hits if sym.startswith("harmless")]
-    out = []
-    for e, (sym, n) in hits:
-        if sym.startswith("harmless"):
-            continue
+_HIRA_WORD = re.compile(r"(?:だ|な|が|の|は|め|や|って|じゃ|を|に|と|も|扱|呼|で|か|[、。!?」』\s]|$)")
+SHORT_GAP = 14
+
+
+def _whole_word(s: str, h: str, a: int, b: int, english: bool) -> bool:
+    """English words end at letters' borders (a plural s aside), katakana ones at the border of a katakana word, short ones
+    in hiragana where a word may begin and a particle may follow."""
+    if english:
+        return not (
+            (a and s[a - 1].isalnum() and s[a - 1].isascii()) or (b < len(s) and s[b].isalnum() and s[b].isascii() and not (s[b] == "s" and not s[b + 1 : b + 2].isalnum()))
+        )
+    if _KATA.match(s[a]):
+        return not ((a and _KATA.match(s[a - 1])) or (b < len(s) and _KATA.match(s[b - 1]) and _KATA.match(s[b])))
+    if b - a <= 3 and "ぁ" <= s[a] <= "ゖ" and "ぁ" <= s[b - 1] <= "ゖ":
+        before = s[a - 1] if a else " "
+        return bool(_HIRA_WORD.match(s, b)) and not s.startswith("り", b) and (not "ぁ" <= before <= "ゖ" or before in "のなはもをにがと")
+    return True
+
+
+def _core(s: str, h: str, hits) -> list[tuple[int, int, str]]:
+    """Core symbols in order, leftmost and longest first; what a harmless word covers is blocked."""
+    found = []
+    for e, (symbol, n, english) in hits:
         a, b = e - n + 1, e + 1
-        if any(x <= a and b <= y for x, y in blocks):
-            continue
-        if sym.endswith("_en"):
-            if (a and s[a - 1].isalpha() and s[a - 1].isascii()) or (b < len(s) and s[b].isalpha() and s[b].isascii() and s[b : b + 2] not in ("s ", "s.")):
-                continue
-            sym = sym[:-3]
-            if sym == "threat":
-                out.append((a, b, "threat_en_full"))
-        elif _KATA.match(s[a]) and ((a and _KATA.match(s[a - 1])) or (b < len(s) and _KATA.match(s[b - 1]) and _KATA.match(s[b]))):
-            continue  # part of a longer katakana word
-        out.append((a, b, sym))
-    # the longest of overlapping entries of one symbol
-    out.sort(key=lambda x: (x[0] - x[1], x[0]))
-    kept: list[tuple[int, int, str]] = []
-    for a, b, sym in out:
-        if not any(sym == z and a < y and x < b for x, y, z in kept):
-            kept.append((a, b, sym))
-    return kept
-
-
-def _sentence(s: str, h: str, symbols) -> list[float]:
-    """The best path of each category's clause transducers over the symbols of a sentence and its context."""
-    seq = list(symbols)
+        if _whole_word(s, h, a, b, english):
+            found.append((a, -b, symbol))
+    found.sort()
+    out, end = [], 0
+    for a, b, symbol in found:
+        if a >= end:
+            out.append((a, -b, symbol))
+            end = -b
+    return [x for x in out if x[2] != "HARMLESS"]
+
+
+def _symbol_string(s: str, h: str, core, group_before: bool) -> tuple[str, ...]:
+    """A sentence as lexical symbols: core words, groups, context, and x or X for short and long stretches of other text."""
+    spans = list(core)
+    taken = [(a, b) for a, b, _ in core]
+
+    def is_free(a: int, b: int) -> bool:
+        return not any(a < y and x < b for x, y in taken)
+
+    for m in _GROUP.finditer(s):
+        if is_free(*m.span()):
+            spans.append((m.start(), m.end(), "GRP"))
+            taken.append(m.span())
     for m in _CONTEXT.finditer(h):
-        seq.append((m.start(), m.end(), m.lastgroup))
-    for m in _GROUP.finditer(h):
-        seq.append((m.start(), m.end(), "group"))
-    for a, b, sym in symbols:
-        if sym == "dismiss" and "○" not in s[a:b] and (_CALLED.search(s[:a]) or s[b : b + 1] in ("", "」", "』", "!")):
-            seq.append((a, b, "dismiss_called"))
-    if re.search(r"\bkeep [a-z ]{3,30} out of\b", h) and _GROUP.search(h):
-        seq.append((0, 1, "keep_out"))
-    at: dict[str, list[tuple[int, int]]] = {}
-    for a, b, sym in seq:
-        at.setdefault(sym, []).append((a, b))
-    score = dict.fromkeys(CATEGORIES, 0.0)
-    for category, path, weight in CLAUSES:
-        if path[0] not in at or path[-1] not in at:
-            continue
-        if len(path) == 1:
-            score[category] += weight
-        elif any(a2 >= b1 and (path[0] != "insult" or path[1] not in ("copula", "names") or a2 - b1 <= 1) for _, b1 in at[path[0]] for a2, _ in at[path[1]]):
-            score[category] += weight
-    return [round(max(0.0, score[c]), 3) for c in CATEGORIES]
-
-
-def score_text(text: str | None) -> tuple[float, float, float]:
-    """Scores of a whole text: the highest sentence by category; a degrading sentence may take its group from the one
-    before."""
+        if is_free(*m.span()):
+            spans.append((m.start(), m.end(), m.lastgroup))
+    spans.sort()
+    out = ["GPREV"] if group_before else []
+    out.append("^")
+    at = 0
+    for a, b, symbol in [*spans, (len(s), len(s), "$")]:
+        gap = _FUNCTION.sub("", s[at:a])
+        if gap:
+            out.append("x" if len(gap) <= SHORT_GAP else "X")
+        out.append(symbol)
+        at = b
+    # a run of the same symbol says no more than two of it
+    return tuple(x for i, x in enumerate(out) if not (i > 1 and x == out[i - 1] == out[i - 2]))
+
+
+def _sentences(s: str) -> list[tuple[int, int]]:
+    """Sentences; what stands in a closed quotation doesn't end one."""
+    inside, open_at = [], []
+    for m in re.finditer("[「『“」』”]", s):
+        if m.group() in _OPEN:
+            open_at.append(m.start())
+        elif open_at:
+            inside.append((open_at.pop(), m.end()))
+    inside = sorted(x for x in inside)
+    ends, k, reach = [], 0, 0
+    for m in _STOP.finditer(s):
+        while k < len(inside) and inside[k][0] < m.start():
+            reach = max(reach, inside[k][1])
+            k += 1
+        if m.end() > reach:
+            ends.append(m.end())
+    bounds = sorted({0, *ends, len(s)})
+    return list(zip(bounds, bounds[1:]))
+
+
+def text_strings(text: str | None) -> list[tuple[str, ...]]:
+    """The symbol strings of a text's candidate sentences."""
     if not text:
-        return (0.0, 0.0, 0.0)
+        return []
     s = skeleton(text)
     h = _hira(s)
     auto = automaton()
     hits = list(auto.iter(h))
-    if re.search(r"[a-z][0134578@$!]|[0134578@$!][a-z]", h):
+    if _DIGIT_WORD.search(h):
         t = _unleet(h)
-        hits += [x for x in auto.iter(t) if x not in hits]
-        h = t
-    if not hits and " out of " not in h:
-        return (0.0, 0.0, 0.0)
-    symbols = _symbols(s, hits)
+        if t != h:
+            hits += [x for x in auto.iter(t) if x not in hits]
+            s = "".join(x if y == z else z for x, y, z in zip(s, h, t))
+            h = t
+    if not hits:
+        return []
+    core = _core(s, h, hits)
+    if not core:
+        return []
+    out, k = [], 0
+    before = (0, 0)
+    for a, b in _sentences(s):
+        own = []
+        while k < len(core) and core[k][0] < b:
+            x, y, symbol = core[k]
+            own.append((x - a, min(y, b) - a, symbol))
+            k += 1
+        if own:
+            out.append(_symbol_string(s[a:b], h[a:b], own, bool(_GROUP.search(s, *before))))
+        before = (a, b)
+    return out
+
+
+_GRAMMAR: list[Grammar] = []
+
+
+def default_grammar() -> Grammar:
+    if not _GRAMMAR:
+        _GRAMMAR.append(Grammar())
+    return _GRAMMAR[0]
+
+
+def score_text(text: str | None, grammar: Grammar | None = None) -> tuple[float, float, float]:
+    """Scores of a whole text: the highest sentence by category."""
+    g = grammar or default_grammar()
     best = [0.0, 0.0, 0.0]
-    start, before = 0, ""
-    ends = [m.end() for m in _SPLIT.finditer(s)]
-    for end in [*ends, len(s)]:
-        own = [(a - start, b - start, sym) for a, b, sym in symbols if start <= a and b <= end]
-        if own or " out of " in h[start:end]:
-            got = _sentence(s[start:end].rstrip("。!?. \n") + ("!" if "!" in s[max(start, end - 2) : end] else ""), h[start:end].rstrip("。?. \n"), own)
-            if 0 < got[1] < THRESHOLD and _GROUP.search(before):
-                got[1] = round(got[1] + 0.7, 3)
-            best = [max(x, y) for x, y in zip(best, got)]
-        before, start = h[start:end], end
+    for string in text_strings(text):
+        best = [max(x, y) for x, (y, _) in zip(best, g.read(string))]
     return tuple(best)
 
 
+def fit_weights(labelled: Iterable[tuple[list[str], str]]) -> dict[str, float]:
+    """Weights of the clauses fitted to (texts of a field, verdict): logistic regression of the verdict on the clauses of the
+    field's best path, held near PRIOR by FIT_PRIOR, with a share FIT_NOISE of wrong verdicts allowed for. A weight never changes
+    its sign."""
+    g = Grammar(features=True)
+    rows: list[tuple[str, tuple[str, ...], bool]] = []
+    for texts, verdict in labelled:
+        best: dict[str, tuple[float, tuple[str, ...]]] = {}
+        for t in texts:
+            for string in text_strings(t):
+                for c, got in zip(CATEGORIES, g.read(string)):
+                    if got[1] and (c not in best or got > best[c]):
+                        best[c] = got
+        rows += [(c, f, verdict == c) for c, (_, f) in best.items()]
+    weights = dict(PRIOR)
+    if not rows:
+        return weights
+    for _ in range(FIT_STEPS):
+        slope = {n: FIT_PRIOR * (weights[n] - PRIOR[n]) for n in weights}
+        for _, features, hit in rows:
+            score = sum(weights[f] for f in features)
+            s = 1 / (1 + math.exp(-8 * (score - 0.85)))
+            p = FIT_NOISE + (1 - 2 * FIT_NOISE) * s
+            step = (p - hit) / (p * (1 - p)) * (1 - 2 * FIT_NOISE) * s * (1 - s)
+            for f in features:
+                slope[f] += 8 * step / len(rows)
+        for n in weights:
+            weights[n] = min(2 * PRIOR[n], max(0.05, weights[n] - FIT_RATE * slope[n]))
+    return weights
+
+
 MEMO = 100_000  # scores of captions kept by each worker
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, tuple[float, float, float]] = {}
+def _score_batches(weights: Mapping[str, float] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar, memo = Grammar(weights), {}
+
+        def element(x):
+            if x is None:
+                return (0.0, 0.0, 0.0)
+            if (got := memo.get(x)) is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                got = memo[x] = score_text(x, grammar)
+            return got
 
-    def element(x):
-        if x is None:
-            return (0.0, 0.0, 0.0)
-        if (got := memo.get(x)) is None:
-            if len(memo) >= MEMO:
-                memo.clear()
-            got = memo[x] = score_text(x)
-        return got
+        for batch in batches:
+            text = [score_text(x, grammar) for x in batch.column(1).to_pylist()]
+            caps = [
+                tuple(max(z) for z in zip(*map(element, c))) if c else (0.0, 0.0, 0.0) for c in batch.column(2).to_pylist()
+            ]
+            columns = [batch.column(0)] + [pa.array([x[i] for x in part], pa.float64()) for part in (text, caps) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *[f"{f}_{c}" for f in ("text", "caption") for c in CATEGORIES]])
 
-    for batch in batches:
-        text = [score_text(x) for x in batch.column(1).to_pylist()]
-        caps = [
-            tuple(max(z) for z in zip(*map(element, c))) if c else (0.0, 0.0, 0.0) for c in batch.column(2).to_pylist()
-        ]
-        columns = [batch.column(0)] + [pa.array([x[i] for x in part], pa.float64()) for part in (text, caps) for i in range(3)]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", *[f"{f}_{c}" for f in ("text", "caption") for c in CATEGORIES]])
+    return run
 
 
-def score_rows(df: DataFrame, id_column: str, text: str, captions: str) -> DataFrame:
+def score_rows(df: DataFrame, id_column: str, text: str, captions: str, weights: Mapping[str, float] | None = None) -> DataFrame:
     """Id and text_abuse .. caption_sexual: one row of scores for every row of ``df``, without a shuffle. The id may be a
     struct, to carry other columns along."""
     kind = dict(df.dtypes)[id_column]
     schema = f"id {kind}, " + ", ".join(f"{f}_{c} double" for f in ("text", "caption") for c in CATEGORIES)
-    return df.select(F.col(id_column).alias("id"), F.col(text), F.col(captions)).mapInArrow(_score_batches, schema).withColumnRenamed("id", id_column)
+    return df.select(F.col(id_column).alias("id"), F.col(text), F.col(captions)).mapInArrow(_score_batches(weights), schema).withColumnRenamed("id", id_column)
 
 
-def score_content(df: DataFrame, id_column: str, text: str, captions: str) -> DataFrame:
+def score_content(df: DataFrame, id_column: str, text: str, captions: str, weights: Mapping[str, float] | None = None) -> DataFrame:
     """Id, field_name (``text``, ``caption``), abuse, hate, sexual: two rows for every row of ``df``, whatever its nulls."""
     parts = [
         F.struct(F.lit(f).alias("field_name"), *[F.col(f"{f}_{c}").alias(c) for c in CATEGORIES]) for f in ("text", "caption")
     ]
-    return score_rows(df, id_column, text, captions).select(id_column, F.inline(F.array(*parts)))
+    return score_rows(df, id_column, text, captions, weights).select(id_column, F.inline(F.array(*parts)))
 
 
 def found_categories(scores: DataFrame, id_column: str) -> DataFrame:
@@ -313,3 +546,33 @@ def found_categories(scores: DataFrame, id_column: str) -> DataFrame:
         lambda x: x["score"] >= THRESHOLD,
     )
     return scores.select(id_column, "field_name", F.inline(reached)).select(id_column, "field_name", "category")
+
+
+def labelled_fields(df: DataFrame, labels: DataFrame, id_column: str, text: str, captions: str, at_most: int = FIT_LABELS) -> DataFrame:
+    """label_id, texts, verdict of a bounded sample of the labels (the first ``at_most`` by hash): the texts of the labelled
+    field. Null verdicts take no part."""
+    known = labels.where("verdict IS NOT NULL").orderBy(F.xxhash64("label_id"), "label_id").limit(at_most)
+    side = F.broadcast(known.select("label_id", F.col(id_column).alias("__id"), "field_name", "verdict"))  # at_most rows
+    own = df.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"), F.col(captions).alias("__captions"))
+    texts = F.when(F.col("field_name") == "caption", F.col("__captions")).otherwise(F.array("__text"))
+    return own.join(side, "__id").select("label_id", F.coalesce(texts, F.array().cast("array<string>")).alias("texts"), "verdict")
+
+
+def fitted_weights(df: DataFrame, labels: DataFrame, id_column: str, text: str, captions: str) -> dict[str, float]:
+    """:func:`fit_weights` on the labels of even hash; those of odd hash are left for :func:`review_agreement`."""
+    rows = labelled_fields(df, labels.where(F.pmod(F.xxhash64(F.lit("half"), "label_id"), F.lit(2)) == 0), id_column, text, captions)
+    return fit_weights([(r["texts"], r["verdict"]) for r in rows.collect()])
+
+
+def review_agreement(df: DataFrame, labels: DataFrame, id_column: str, text: str, captions: str, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """category, n_labels, n_reviewed, n_found, n_both over the labels of odd hash, which no weight was fitted to: precision is
+    n_both / n_found, recall n_both / n_reviewed, against verdicts that are wrong now and then."""
+    held = labels.where((F.pmod(F.xxhash64(F.lit("half"), "label_id"), F.lit(2)) == 1) & F.col("verdict").isNotNull())
+    scores = score_content(df.join(held.select(id_column).distinct(), id_column, "left_semi"), id_column, text, captions, weights)
+    joined = held.join(scores, [id_column, "field_name"]).select(
+        "verdict", F.explode(F.array(*[F.struct(F.lit(c).alias("category"), (F.col(c) >= THRESHOLD).alias("found")) for c in CATEGORIES])).alias("x")
+    )
+    reviewed = F.col("verdict") == F.col("x.category")
+    return joined.groupBy(F.col("x.category").alias("category")).agg(
+        F.count(F.lit(1)).alias("n_labels"), F.count_if(reviewed).alias("n_reviewed"), F.count_if("x.found").alias("n_found"), F.count_if(reviewed & F.col("x.found")).alias("n_both")
+    )

@@ -1,6 +1,12 @@
+import itertools
+import random
+
 import pytest
 
-from kikitori.llm.abuse import CATEGORIES, found_categories, score_content, score_text
+from abuse_sentences import HARMLESS as HARMLESS_SENTENCES
+from abuse_sentences import SAID
+from kikitori.llm.abuse import CATEGORIES, PRIOR, fit_weights, found_categories, review_agreement, score_content, score_text
+from kikitori.llm.fst import BestPath, Composition, concat, star, symbols, union, without_empty, writes
 
 FOUND = [
     ("abuse", "このバカが！"),
@@ -62,3 +68,63 @@ def test_every_row_is_scored(spark):
 @pytest.mark.parametrize("text", ["a" * 200_000 + " b1", "1" * 200_000 + " b1 x", "[" + " " * 200_000, "a " * 100_000])
 def test_long_runs_are_read_in_linear_time(text):
     assert max(score_text(text)) < 1.0
+
+
+def test_sentences_in_other_words():
+    hit = sum(dict(zip(CATEGORIES, score_text(t)))[c] >= 1.0 for c, t in SAID)
+    wrong = sum(max(score_text(t)) >= 1.0 for t in HARMLESS_SENTENCES)
+    assert hit >= 0.95 * len(SAID) and wrong <= 0.05 * len(HARMLESS_SENTENCES)
+
+
+@pytest.mark.parametrize(
+    "said,denied",
+    [
+        ("You are an idiot.", "You are not an idiot."),
+        ("お前はバカだ。", "お前はバカじゃない。"),
+        ("Immigrants are criminals.", "Immigrants are not criminals."),
+        ("I will kill you.", "I will never kill you."),
+        ("「このバカが！」と怒鳴った。", "「このバカが！」と言われて悲しかった。"),
+        ("お前はバカだ。", "俺はバカだ。"),
+        ("「移民は出て行け」と叫んだ。", "「移民は出て行け」と言ってはいけない。"),
+        ("I won't stop, and I will kill you.", "I was told that he will kill you."),
+    ],
+)
+def test_negation_and_reports_have_scope(said, denied):
+    assert max(score_text(said)) >= 1.0 > max(score_text(denied))
+
+
+def test_composition_is_the_relation_of_its_parts():
+    """Best paths of the lazy, determinized cascade against all paths of both machines by brute force."""
+    first = without_empty(star(union(concat(symbols("a"), symbols("b"), writes("X")), symbols("ab", {"a": ("a",), "b": ("b",)}))))
+    second = without_empty(star(union(symbols("X"), symbols("ab"), concat(symbols("X"), symbols("a")))))
+    for arcs in second.arcs:
+        arcs[:] = [(i, o, (f"{i}{n % 3}",), n) for i, o, f, n in arcs]
+    rng = random.Random(3)
+    weights = {f"{i}{n}": rng.uniform(-1, 1) for i in "Xab" for n in range(3)}
+
+    def every(machine, string):
+        states = [(0, (), ())]
+        for x in string:
+            states = [(n, o + o2, f + f2) for at, o, f in states for i, o2, f2, n in machine.arcs[at] if i == x]
+        return [(o, f) for at, o, f in states if at in machine.finals]
+
+    best = BestPath(Composition(first, second), weights, features=True)
+    for n in range(6):
+        for string in itertools.product("ab", repeat=n):
+            want = max((sum(round(weights[x] * 1000) for x in f) / 1000 for o, _ in every(first, string) for _, f in every(second, o)), default=0.0)
+            got, names = best.read(string)
+            assert got == pytest.approx(want) and sum(round(weights[x] * 1000) for x in names) / 1000 == pytest.approx(got)
+
+
+def test_weights_follow_the_verdicts():
+    rows = [(["お前はクズだ。"], "abuse")] * 40 + [(["この下着の上に喘ぎ"], "none")] * 40 + [([], "none"), ([None, ""], "hate")]
+    w = fit_weights(rows)
+    assert w["you_insult"] >= PRIOR["you_insult"] and w["suggestive_before"] < PRIOR["suggestive_before"] and set(w) == set(PRIOR)
+    assert fit_weights([]) == PRIOR
+
+
+def test_agreement(spark):
+    df = spark.createDataFrame([(i, "このバカが！" if i % 2 else "良い天気。", None, i) for i in range(40)], "row_id bigint, text string, caption array<string>, verdict int")
+    labels = spark.createDataFrame([(i, i, "text", "x", "abuse" if i % 2 else "none") for i in range(40)] + [(99, None, None, None, None)], "label_id bigint, row_id bigint, field_name string, annotator string, verdict string")
+    got = {r.category: r for r in review_agreement(df, labels, "row_id", "text", "caption").collect()}
+    assert got["abuse"].n_both == got["abuse"].n_found == got["abuse"].n_reviewed > 0 and got["hate"].n_found == 0
