@@ -14,7 +14,7 @@ from kikitori.llm.mojibake import find_garbled
 from kikitori.llm.packing import pack
 from kikitori.llm.pieces import oversized_rows, recording_pieces
 from kikitori.llm.tokens import token_count
-from kikitori.llm.turns import speaker_turns, transcript_findings
+from kikitori.llm.turns import fit_sample, speaker_turns, transcript_findings
 from kikitori.plans.tables import table
 from kikitori.session import cut
 
@@ -24,7 +24,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_turns(spark: SparkSession, d: str) -> DataFrame:
-    return speaker_turns(table(spark, d, "transcripts"), "transcript_id", "segments")
+    """Segments without a label join the turn that pauses and lexical continuity speak for."""
+    t = table(spark, d, "transcripts")
+    return speaker_turns(t, "transcript_id", "segments", fit_sample(t, "transcript_id", "segments"), uncertain=True)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +118,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_turns(spark: SparkSession, d: str) -> DataFrame:
-    return speaker_turns(table(spark, d, "transcripts"), "transcript_id", "segments")
+    """Segments without a label join the turn that pauses and lexical continuity speak for."""
+    t = table(spark, d, "transcripts")
+    return speaker_turns(t, "transcript_id", "segments", fit_sample(t, "transcript_id", "segments"), uncertain=True)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
