@@ -119,8 +119,9 @@ def periods_and_gaps(df: DataFrame, entity: Sequence[str], start: str, end: str)
     joined, and the clear runs between two successive set runs. Before the first and after the last there is no gap. An
     empty table, or an entity without a valid interval, gives no rows. Repeated rows make no difference."""
     entity = list(entity)
-    items = _items(run_bitmaps(df, entity, start, end), entity)
     keys = [*entity, "block"]
+    # by blocks once: windows and summaries below all read this exchange
+    items = _items(run_bitmaps(df, entity, start, end), entity).repartition(*keys)
     own = Window.partitionBy(*keys).orderBy("at", F.desc("level"))
     of_entity = Window.partitionBy(*entity).orderBy("block")
 
