@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kikitori.session import cut
+
 SHARD_BITS = 16
 LEVELS = 4
 BLOCK_BITS = 23  # units of a block of shards: about 2.3 hours
@@ -120,8 +122,8 @@ def periods_and_gaps(df: DataFrame, entity: Sequence[str], start: str, end: str)
     empty table, or an entity without a valid interval, gives no rows. Repeated rows make no difference."""
     entity = list(entity)
     keys = [*entity, "block"]
-    # by blocks once: windows and summaries below all read this exchange
-    items = _items(run_bitmaps(df, entity, start, end), entity).repartition(*keys)
+    # written once: windows and summaries below all read it
+    items, _ = cut(_items(run_bitmaps(df, entity, start, end), entity), "run-items")
     own = Window.partitionBy(*keys).orderBy("at", F.desc("level"))
     of_entity = Window.partitionBy(*entity).orderBy("block")
 
