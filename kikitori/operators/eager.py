@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kikitori.session import cut
+
 
 def compact_state(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column], count_name: str) -> DataFrame:
     """One row per ``keys``: the number of rows and the sum of each measure (nulls add nothing)."""
@@ -79,7 +81,8 @@ def join_states(left: DataFrame, right: DataFrame, keys: Sequence[str], right_co
 
 def heavy_keys(states: DataFrame, key: str, count_col: str, share: float) -> DataFrame:
     """Keys holding at least ``share`` of all rows. ``states``: one row per key with its row count, the null key among
-    them, as it counts towards all rows. At most ``1 / share`` rows come out; the null key is no key and never does.
-    The total is a scalar subquery."""
+    them, as it counts towards all rows. At most ``1 / share`` rows come out; the null key is no key and never does. The
+    states are written once, so that total and keys come from one run of what makes them."""
+    states, _ = cut(states, "states")
     total = states.agg(F.sum(count_col) * F.lit(share)).scalar()
     return states.where(F.col(key).isNotNull() & (F.col(count_col) >= total))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kikitori.functions.text import keyed_number, keyed_order
-from kikitori.operators.prefix import hash_bucket, prefix_sum
+from kikitori.operators.prefix import bucket_count, hash_bucket, prefix_sum
+from kikitori.session import cut
 
 REASONS_AUDIO = ("audio_decode", "trimmed_empty", "prepare_error", "encode_error", "dataset_iter_error")
 
@@ -49,23 +50,26 @@ def rank_contiguous(idx: Column, start: int, total: int, world: int) -> Column:
     return F.when((idx >= start) & (idx < total), F.floor((idx - start) / F.lit(per)))
 
 
-def number_bucket(df: DataFrame, number: str, buckets: int) -> Column:
-    """A bucket that follows a whole number from 0 to its maximum."""
-    top = df.agg(F.max(number)).scalar()
-    return F.floor(F.greatest(F.col(number), F.lit(0)) * buckets / (F.greatest(top, F.lit(0)) + 1)).cast("int")
+def number_bucket(df: DataFrame, number: str) -> Column:
+    """A bucket that follows a whole number from its minimum to its maximum; their count follows the number of rows."""
+    low, high, n = df.agg(F.min(number), F.max(number), F.count(F.lit(1))).first()
+    if low is None:
+        return F.lit(0)
+    width = max(1, -(-(high - low + 1) // bucket_count(n)))
+    return F.floor((F.coalesce(F.col(number), F.lit(low)) - F.lit(low)) / F.lit(width)).cast("int")
 
 
-def first_accepted(rows: DataFrame, rank: str, idx: str, ok: Column, most: int, buckets: int = 1024) -> DataFrame:
+def first_accepted(rows: DataFrame, rank: str, idx: str, ok: Column, most: int) -> DataFrame:
     """Per rank, the rows up to its ``most``-th accepted one: what a reader that stops there has seen. Ranks are few, so the
     running count is taken over buckets of positions."""
-    counted = rows.withColumns({"__ok": ok.cast("int"), "__bk": number_bucket(rows, idx, buckets)})
+    counted = rows.withColumns({"__ok": ok.cast("int"), "__bk": number_bucket(rows, idx)})
     run = prefix_sum(counted, [rank], "__bk", [idx], "__ok", "__n")
     return run.where(F.col("__n") < most).drop("__n", "__ok", "__bk")
 
 
-def line_offsets(df: DataFrame, line_no: str, line: Column, buckets: int = 1024) -> DataFrame:
+def line_offsets(df: DataFrame, line_no: str, line: Column) -> DataFrame:
     """Byte offset of each line: the sum of the lengths before, by buckets of line numbers."""
-    sized = df.withColumns({"__len": (F.octet_length(line) + 1).cast("bigint"), "__bk": number_bucket(df, line_no, buckets)})
+    sized = df.withColumns({"__len": (F.octet_length(line) + 1).cast("bigint"), "__bk": number_bucket(df, line_no)})
     return prefix_sum(sized, [], "__bk", [line_no], "__len", "byte_offset").drop("__len", "__bk")
 
 
@@ -79,7 +83,9 @@ def split_train_valid(df: DataFrame, key: str, ratio: float, seed: int) -> DataF
         raise ValueError("a validation split needs at least 2 rows")
     valid = min(max(1, int(n * ratio)), n - 1)
     order = keyed_order(seed, F.col(key))
-    bucketed = df.withColumns({"__o": order, "__bk": F.conv(F.substring(order, 1, 3), 16, 10).cast("int"), "__one": F.lit(1)})
+    # hexadecimal order keys: their first seven digits follow the order
+    bucket = F.floor(F.conv(F.substring(order, 1, 7), 16, 10).cast("bigint") * bucket_count(n) / (1 << 28)).cast("int")
+    bucketed = df.withColumns({"__o": order, "__bk": bucket, "__one": F.lit(1)})
     ranked = prefix_sum(bucketed, [], "__bk", ["__o", key], "__one", "__rank")
     return ranked.withColumn("split", F.when(F.col("__rank") < valid, "valid").otherwise("train")).drop("__o", "__bk", "__one", "__rank")
 
@@ -91,11 +97,11 @@ def reference_pairs(df: DataFrame, key: str, groups: Sequence[str], seed: int) -
     Rows get positions in their group from running sums over buckets (a group with a third of all rows is spread over
     them); position p draws p' <> p from a keyed number, and one equi-join on (group, position) finds the row: no pairs are
     made, and no group is gathered in a task."""
-    known = df.where(" AND ".join(f"{g} IS NOT NULL" for g in groups))
-    known = known.withColumns({"__bk": hash_bucket(F.col(key)), "__one": F.lit(1)})
-    placed = prefix_sum(known, groups, "__bk", [key], "__one", "__pos").drop("__bk", "__one")
-    sizes = placed.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    sized = placed.join(sizes, list(groups)).where("__n > 1")
+    known = df.where(" AND ".join(f"{g} IS NOT NULL" for g in groups)).select(key, *groups)
+    known = known.withColumns({"__bk": hash_bucket(F.col(key), buckets=bucket_count(df.count())), "__one": F.lit(1)})
+    # written once, as the rows that draw and the rows drawn are the same; sizes come with the sums of buckets
+    placed, _ = cut(prefix_sum(known, groups, "__bk", [key], "__one", "__pos", "__n").drop("__bk", "__one"), "positions")
+    sized = placed.where("__n > 1")
     step = 1 + keyed_number(seed, F.col(key), F.col("__n") - 1)
     drawn = sized.withColumn("__want", F.pmod(F.col("__pos") + step, F.col("__n"))).select(F.col(key).alias("__key"), *[F.col(g).alias(f"__g_{g}") for g in groups], "__want")
     targets = placed.select(F.col(key).alias("__ref"), *[F.col(g).alias(f"__t_{g}") for g in groups], F.col("__pos").alias("__at"))

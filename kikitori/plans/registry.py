@@ -1,4 +1,4 @@
-"""All queries of the core, by name, and their SQL. Array columns come out as text, alike in both engines."""
+"""All queries of the core, by name, and their SQL. Array columns come out element by element in both engines."""
 
 from __future__ import annotations
 
@@ -33,31 +33,44 @@ FLAGS = {"patch_mask": ["m"]}
 STRINGS = {"caption_candidates": ["candidates"], "manifest_rows": ["caption"]}
 
 
-def _as_text(name, run):
+ARRAYS = {k: NUMBERS.get(k, []) + FLAGS.get(k, []) + STRINGS.get(k, []) for k in (*NUMBERS, *FLAGS, *STRINGS)}
+
+
+def _by_element(name, run):
+    """Array columns element by element: ``pos`` and one column of elements for each, so that their values and types are
+    compared. An empty or null array is one row of nulls."""
+    arrays = ARRAYS.get(name)
+    if not arrays:
+        return run
+
     def wrapped(spark, d):
         df = run(spark, d)
-        for c in NUMBERS.get(name, []):
+        zipped = F.arrays_zip(*[F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c) for c in arrays])
+        flat = df.select(*[c for c in df.columns if c not in arrays], F.posexplode_outer(zipped).alias("pos", "__z"))
+        for c in arrays:
+            v = F.col("__z")[c]
             # + 0.0 makes a negative zero plain
-            df = df.withColumn(c, F.array_join(F.transform(c, lambda v: F.format_string("%.9f", F.round(v, 9) + 0.0)), ","))
-        for c in FLAGS.get(name, []):
-            df = df.withColumn(c, F.array_join(F.transform(c, lambda v: v.cast("string")), ","))
-        for c in STRINGS.get(name, []):
-            df = df.withColumn(c, F.array_join(c, "|"))
-        return df
+            flat = flat.withColumn(c, F.round(v.cast("double"), 9) + 0.0 if c in NUMBERS.get(name, []) else v)
+        return flat.drop("__z")
 
     return wrapped
 
 
-def _as_text_sql(name, sql):
-    parts = [f"array_to_string(list_transform({c}, lambda v: printf('%.9f', round(v, 9) + 0.0)), ',') AS {c}" for c in NUMBERS.get(name, [])]
-    parts += [f"array_to_string(list_transform({c}, lambda v: CAST(v AS VARCHAR)), ',') AS {c}" for c in FLAGS.get(name, [])]
-    parts += [f"array_to_string({c}, '|') AS {c}" for c in STRINGS.get(name, [])]
-    return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql.strip()})" if parts else sql
+def _by_element_sql(name, sql):
+    arrays = ARRAYS.get(name)
+    if not arrays:
+        return sql
+    longest = "greatest(" + ", ".join(f"coalesce(len({c}), 0)" for c in arrays) + ")"
+    parts = [f"unnest(CASE WHEN {longest} > 0 THEN CAST(range({longest}) AS INTEGER[]) ELSE [NULL::INTEGER] END) AS pos"]
+    for c in arrays:
+        value = f"list_transform({c}, lambda v: round(CAST(v AS DOUBLE), 9) + 0.0)" if c in NUMBERS.get(name, []) else c
+        parts.append(f"unnest(CASE WHEN len({c}) > 0 THEN {value} ELSE [NULL] END) AS {c}")
+    return f"SELECT * EXCLUDE ({', '.join(arrays)}), {', '.join(parts)} FROM ({sql.strip()})"
 
 
 def queries():
-    return {name: _as_text(name, run) for m in MODULES for name, run in m.queries().items()}
+    return {name: _by_element(name, run) for m in MODULES for name, run in m.queries().items()}
 
 
 def oracle_sql():
-    return {name: _as_text_sql(name, sql) for m in MODULES for name, sql in m.oracle_sql().items()}
+    return {name: _by_element_sql(name, sql) for m in MODULES for name, sql in m.oracle_sql().items()}

@@ -29,9 +29,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder named in spark.checkpoint.dir; where it is unset and the master is local (tests), one of our own. A cluster
+    must name one: executors on other machines couldn't read a folder of this one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(shared_folder, "own", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="kikitori-")
