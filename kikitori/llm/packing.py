@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from kikitori.operators.prefix import hash_bucket, prefix_sum
+from kikitori.operators.prefix import bucket_count, hash_bucket, prefix_sum
 from kikitori.session import cut
 
 GROUPS = 64
@@ -142,7 +142,7 @@ def pack(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
             out[at] = firsts[g][p] + (r - starts[g][p]) // every[g][p]
         return pd.Series(out)
 
-    large = parts.where(F.col("size") > small_most).withColumns({"g": to_group("size"), "one": F.lit(1), "b": hash_bucket(F.col("item"), F.col("part_no"), buckets=256)})
+    large = parts.where(F.col("size") > small_most).withColumns({"g": to_group("size"), "one": F.lit(1), "b": hash_bucket(F.col("item"), F.col("part_no"), buckets=bucket_count(sum(large_histogram.values())))})
     ranked = prefix_sum(large, ["g"], "b", ["item", "part_no"], "one", "rank")
     placed, _ = cut(ranked.select("item", "part_no", "start_unit", "end_unit", "size", to_bin("g", "rank").alias("bin_id")), "placed")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kikitori.llm import oracle
 from kikitori.llm.abuse import CATEGORIES, THRESHOLD, fitted_weights, found_categories, review_agreement, score_content, score_rows
-from kikitori.llm.groups import bound_speakers, row_units, unit_links, update_components
+from kikitori.llm.groups import ComponentTable, bound_speakers, row_splits
 from kikitori.llm.lookalike import canonicalize, lookalike_classes, lookalike_pairs, stored_values
 from kikitori.llm.mixing import draw_mix, letter_share, reached_shares
 from kikitori.llm.mojibake import find_garbled
@@ -16,74 +18,7 @@ from kikitori.llm.pieces import oversized_rows, recording_pieces
 from kikitori.llm.tokens import token_count
 from kikitori.llm.turns import fit_sample, speaker_turns, transcript_findings
 from kikitori.plans.tables import table
-from kikitori.session import cut
-
-
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return transcript_findings(table(spark, d, "transcripts"), "transcript_id", "segments")
-
-
-def p2_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Segments without a label join the turn that pauses and lexical continuity speak for."""
-    t = table(spark, d, "transcripts")
-    return speaker_turns(t, "transcript_id", "segments", fit_sample(t, "transcript_id", "segments"), uncertain=True)
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return bound_speakers(table(spark, d, "manifest"), "speaker_id", "audio_file")
-
-
-FIRST_LOAD_UNTIL = "2024-06-01"
-
-
-def _split_rows(spark: SparkSession, d: str) -> DataFrame:
-    """row_id, split_name, status after two loads: the rows written before FIRST_LOAD_UNTIL, then all rows."""
-    m = table(spark, d, "manifest")
-    targets = [(r["split_name"], r["target_share"]) for r in table(spark, d, "split_targets").orderBy("split_name").collect()]
-    existing = None
-    for load in (m.where(F.col("written_at") < F.lit(FIRST_LOAD_UNTIL).cast("timestamp_ntz")), m):
-        rows, _ = cut(row_units(load, "row_id", "speaker_id", "audio_file"), "row-units")
-        sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
-        existing, _ = cut(update_components(sizes, unit_links(load, "speaker_id", "audio_file"), targets, existing), "component-table")
-    return rows.join(existing, "unit").select("row_id", "split_name", "status")
-
-
-def p3_splits(spark: SparkSession, d: str) -> DataFrame:
-    return _split_rows(spark, d)
-
-
-def p3_split_shares(spark: SparkSession, d: str) -> DataFrame:
-    rows = _split_rows(spark, d).groupBy("split_name").agg(F.count(F.lit(1)).alias("n_rows"))
-    total = rows.agg(F.sum("n_rows")).scalar()
-    return rows.join(table(spark, d, "split_targets"), "split_name", "left").select(
-        "split_name", "n_rows", (F.col("n_rows") / total).alias("share"), "target_share"
-    )
-
-
-def _manifest_values(spark: SparkSession, d: str) -> DataFrame:
-    return stored_values(table(spark, d, "manifest"), ["text", "speaker_id"], ["caption"])
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike_pairs(_manifest_values(spark, d))
-
-
-def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        lookalike_classes(_manifest_values(spark, d))
-        .groupBy("field_name")
-        .agg(F.count_distinct("canonical").alias("n_classes"), F.count(F.lit(1)).alias("n_values"))
-    )
-
-
-def p5_canonical_speakers(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "manifest").select("row_id", "speaker_id")
-    return canonicalize(m, ["speaker_id"]).groupBy("speaker_id").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def p5_canonical_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Every row of manifest, with text, captions and speaker in their consistent form."""
-    return canonicalize(table(spark, d, "manifest"), ["text", "speaker_id"], ["caption"])
+from kikitori.session import shared_folder
 
 
 def _fitted(spark: SparkSession, d: str) -> dict[str, float]:
@@ -123,23 +58,31 @@ def p2_turns(spark: SparkSession, d: str) -> DataFrame:
     return speaker_turns(t, "transcript_id", "segments", fit_sample(t, "transcript_id", "segments"), uncertain=True)
 
 
+def _component_table(spark: SparkSession) -> ComponentTable:
+    """A new table in the shared folder; a pipeline names a path of its own and loads into it again and again."""
+    return ComponentTable(spark, f"{shared_folder(spark)}/component-table-{uuid.uuid4().hex}")
+
+
+def _targets(spark: SparkSession, d: str) -> list[tuple[str, float]]:
+    return [(r["split_name"], r["target_share"]) for r in table(spark, d, "split_targets").orderBy("split_name").collect()]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return bound_speakers(table(spark, d, "manifest"), "speaker_id", "audio_file")
+    m, components = table(spark, d, "manifest"), _component_table(spark)
+    components.load("all", m, "row_id", "speaker_id", "audio_file", _targets(spark, d))
+    return bound_speakers(components, m, "speaker_id")
 
 
 FIRST_LOAD_UNTIL = "2024-06-01"
 
 
 def _split_rows(spark: SparkSession, d: str) -> DataFrame:
-    """row_id, split_name, status after two loads: the rows written before FIRST_LOAD_UNTIL, then all rows."""
-    m = table(spark, d, "manifest")
-    targets = [(r["split_name"], r["target_share"]) for r in table(spark, d, "split_targets").orderBy("split_name").collect()]
-    existing = None
-    for load in (m.where(F.col("written_at") < F.lit(FIRST_LOAD_UNTIL).cast("timestamp_ntz")), m):
-        rows, _ = cut(row_units(load, "row_id", "speaker_id", "audio_file"), "row-units")
-        sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
-        existing, _ = cut(update_components(sizes, unit_links(load, "speaker_id", "audio_file"), targets, existing), "component-table")
-    return rows.join(existing, "unit").select("row_id", "split_name", "status")
+    """row_id, split_name, status after two loads: the rows written before FIRST_LOAD_UNTIL, then those written later."""
+    m, components = table(spark, d, "manifest"), _component_table(spark)
+    early = F.coalesce(F.col("written_at") < F.lit(FIRST_LOAD_UNTIL).cast("timestamp_ntz"), F.lit(False))
+    for name, rows in (("early", m.where(early)), ("late", m.where(~early))):
+        components.load(name, rows, "row_id", "speaker_id", "audio_file", _targets(spark, d))
+    return row_splits(components, m, "row_id", "speaker_id", "audio_file")
 
 
 def p3_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -180,28 +123,6 @@ def p5_canonical_manifest(spark: SparkSession, d: str) -> DataFrame:
     return canonicalize(table(spark, d, "manifest"), ["text", "speaker_id"], ["caption"])
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return score_content(table(spark, d, "manifest"), "row_id", "text", "caption")
-
-
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return found_categories(_scores(spark, d), "row_id")
-
-
-def p1_scores(spark: SparkSession, d: str) -> DataFrame:
-    """A score for every row: the highest of its text and captions in each category."""
-    s = score_rows(table(spark, d, "manifest"), "row_id", "text", "caption")
-    return s.select("row_id", *[F.greatest(f"text_{c}", f"caption_{c}").alias(c) for c in CATEGORIES])
-
-
-def p1_source_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Per source (the null source too): rows, and the share of rows found in each category."""
-    keyed = table(spark, d, "manifest").select(F.struct("row_id", "source").alias("k"), "text", "caption")
-    s = score_rows(keyed, "k", "text", "caption")
-    hit = [(F.greatest(f"text_{c}", f"caption_{c}") >= THRESHOLD).cast("int") for c in CATEGORIES]
-    return s.groupBy(F.col("k.source").alias("source")).agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(h).alias(f"{c}_rate") for h, c in zip(hit, CATEGORIES)])
-
-
 def _size_limit(spark: SparkSession, d: str, kind: str):
     return table(spark, d, "size_limits").where(F.col("item_kind") == kind).first()
 
