@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kikitori.session import cut
+
 ROWS_PER_BUCKET = 50_000
 LEAST_BUCKETS = 16
 
@@ -26,6 +28,14 @@ def hash_bucket(*keys: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def range_buckets(df: DataFrame, order: Sequence[str], out: str, rows: int) -> DataFrame:
+    """``df``, written once, with a bucket that follows ``order``: ranges of about equally many rows, by a sample of the keys, so
+    that hot stretches of an order are cut too."""
+    n = bucket_count(rows)
+    ranged, _ = cut(df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()), "ranges")
+    return ranged
+
+
 def prefix_sum(
     df: DataFrame, partition: Sequence[str], bucket: str, order: Sequence[Column | str], weight: str, out: str, total: str | None = None
 ) -> DataFrame:
