@@ -50,11 +50,16 @@ def test_references(spark):
 
 def test_shards_and_offsets(spark):
     df = spark.createDataFrame([(i, "é" * i) for i in range(20)], "n bigint, t string")
-    got = {r.n: r.byte_offset for r in M.line_offsets(df, "n", F.col("t"), 4).collect()}
+    got = {r.n: r.byte_offset for r in M.line_offsets(df, "n", F.col("t")).collect()}
     at = 0
     for i in range(20):
         assert got[i] == at
         at += 2 * i + 1
+    # ids that start high are spread too
+    high = df.select((F.col("n") + 10**12).alias("n"), "t")
+    assert high.select(M.number_bucket(high, "n")).distinct().count() > 5
+    assert {r.n - 10**12: r.byte_offset for r in M.line_offsets(high, "n", F.col("t")).collect()} == got
+    assert M.line_offsets(df.where("false"), "n", F.col("t")).count() == 0
     ranks = [r[0] for r in spark.range(10).select(M.rank_contiguous(F.col("id"), 2, 10, 3)).collect()]
     assert ranks == [None, None, 0, 0, 0, 1, 1, 1, 2, 2]
     seen = M.first_accepted(spark.range(20).select("id", F.lit(0).alias("rank"), (F.col("id") % 3 == 0).alias("ok")), "rank", "id", F.col("ok"), 2)
