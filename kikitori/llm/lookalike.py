@@ -13,12 +13,15 @@ repeated rows count once; an empty table gives no rows.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kikitori.operators.hot import spread_join
+from kikitori.session import cut
+
 # fixed values: letters of other scripts that look like a Latin letter, and the letter
 LATIN_LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d",
@@ -73,10 +76,15 @@ def fold_table() -> tuple[str, str]:
 
 @lru_cache(1)
 def unmark_table() -> tuple[str, str]:
-    """For ``translate``: composed characters to their first one, all combining marks deleted."""
-    pairs, gone = {}, []
+    """For ``translate``: composed characters to their first one, Hangul syllables to their initial letter; all combining marks
+    and the letters of Hangul that aren't initials are deleted."""
+    pairs, gone = {}, [chr(cp) for cp in (*range(0x1160, 0x1200), *range(0xD7B0, 0xD7FC))]
+    for n in range(19 * 588):  # syllables in blocks by their initial letter
+        pairs[chr(0xAC00 + n)] = chr(0x1100 + n // 588)
     for cp in (*range(0x80, 0xAC00), *range(0xF900, 0x10000)):
         ch = chr(cp)
+        if 0x1160 <= cp < 0x1200 or 0xD7B0 <= cp < 0xD7FC or 0xAC00 <= cp < 0xD7A4:
+            continue
         if unicodedata.category(ch) in ("Mn", "Mc", "Me"):
             gone.append(ch)
         elif (d := unicodedata.decomposition(ch)) and not d.startswith("<"):
@@ -92,11 +100,10 @@ def fold(value: Column) -> Column:
 
 
 def coarse_key(field: Column, form: Column) -> Column:
-    """64 bits, equal for all forms equal under COLLATION: marks dropped, Hangul (whose syllables decompose) too."""
+    """64 bits, equal for all forms equal under COLLATION: without marks, Hangul by its initial letters (a syllable and its
+    letters are equal)."""
     source, target = unmark_table()
-    bare = F.translate(form, source, target)
-    hangul = "[\\x{1100}-\\x{11FF}\\x{A960}-\\x{A97C}\\x{AC00}-\\x{D7FB}]"
-    return F.xxhash64(field, F.when(F.rlike(bare, F.lit(hangul)), F.regexp_replace(bare, hangul, "")).otherwise(bare))
+    return F.xxhash64(field, F.translate(form, source, target))
 
 
 def compose(values):
@@ -125,18 +132,17 @@ def shared_forms(values: DataFrame) -> DataFrame:
 
 
 def lookalike_classes(values: DataFrame) -> DataFrame:
-    """field_name, value, canonical for every distinct value that has look-alikes. The canonical member is the one that is
-    its own form already, and the smallest of several or of none."""
+    """field_name, value, canonical, n_members for every distinct value that has look-alikes. The canonical member is the one
+    that is its own form already, and the smallest of several or of none. A class of n members has n - 1 links to it."""
     return values.sparkSession.sql(
         f"""
-        SELECT field_name, value, canonical FROM (
-          SELECT field_name, value, count(1) OVER same AS n,
-            min(struct(value <> form AS changed, value)) OVER same.value AS canonical
+        SELECT field_name, value, canonical.value AS canonical, n_members FROM (
+          SELECT field_name, value, count(1) OVER same AS n_members, min(struct(value <> form AS changed, value)) OVER same AS canonical
           FROM {{shared}} WINDOW same AS (PARTITION BY field_name, form COLLATE {COLLATION})
-        ) WHERE n > 1
-        """.replace(" OVER same.value", " OVER same"),
+        ) WHERE n_members > 1
+        """,
         shared=shared_forms(values),
-    ).withColumn("canonical", F.col("canonical.value"))
+    )
 
 
 def lookalike_pairs(values: DataFrame) -> DataFrame:
@@ -147,26 +153,43 @@ def lookalike_pairs(values: DataFrame) -> DataFrame:
     return a.join(b, ["field_name", "canonical"]).where("value_a < value_b").select("field_name", "value_a", "value_b")
 
 
-def _changed(values: DataFrame) -> DataFrame:
-    """__value, __canonical of the values that aren't their class's canonical member."""
-    return lookalike_classes(values).where("value <> canonical").select(F.col("value").alias("__value"), F.col("canonical").alias("__canonical"))
+def _value_key(field: Column, value: Column) -> Column:
+    return F.xxhash64(field, value)
 
 
-def _canonical_arrays(df: DataFrame, column: str) -> DataFrame:
-    """__value, __canonical for every distinct array with an element to change: the same length and order, nulls kept."""
-    elements = df.select(F.col(column).alias("__array")).where("__array IS NOT NULL").distinct().select("__array", F.posexplode("__array").alias("__at", "__element"))
-    mapped = elements.join(_changed(stored_values(df, [], [column])), F.col("__element") == F.col("__value"), "left")
-    entry = F.struct("__at", F.coalesce("__canonical", "__element").alias("x"))
-    rebuilt = mapped.groupBy("__array").agg(F.array_sort(F.collect_list(entry)).alias("__entries"), F.count("__canonical").alias("__n"))
-    return rebuilt.where("__n > 0").select(F.col("__array").alias("__value"), F.transform("__entries", lambda e: e["x"]).alias("__canonical"))
+def _elements(column: str, change: Callable[[str, Column], Column]) -> Column:
+    """``change(column, element)`` of every element. (A function of two parameters would be given the position.)"""
+    return F.transform(column, lambda x: change(column, x))
 
 
-def canonicalize(df: DataFrame, columns: Sequence[str], arrays: Sequence[str] = ()) -> DataFrame:
+def canonicalize(df: DataFrame, key: str, columns: Sequence[str], arrays: Sequence[str] = ()) -> DataFrame:
     """``df`` with each string column, and each element of the array columns, in one consistent form: values with look-alikes
-    become their class's canonical member, all others stay. Only changed values are joined, and the usual spelling of a
-    frequent value is canonical."""
-    for c in (*columns, *arrays):
-        changed = _canonical_arrays(df, c) if c in arrays else _changed(stored_values(df, [c]))
-        df = df.join(changed, F.col(c) == F.col("__value"), "left")
-        df = df.withColumn(c, F.coalesce("__canonical", c)).drop("__value", "__canonical")
-    return df
+    become their class's canonical member, all others stay.
+
+    What is shuffled is narrow: ``key`` and a hash for each value, joined to the values that change (their rows are spread where
+    a value is hot); the few rows with a change are then brought to ``df`` by ``key``, in one join. Hashes only find values:
+    each is compared before it is replaced. Rows with a null key stay as they are; rows that share a key share their changes,
+    which are by value, too."""
+    values = stored_values(df, columns, arrays)
+    changed = lookalike_classes(values).where("value <> canonical")
+    entry = F.struct("field_name", "value", "canonical")
+    changed = changed.groupBy(_value_key(F.col("field_name"), F.col("value")).alias("__h")).agg(F.collect_list(entry).alias("__entries"))
+    changed, _ = cut(changed, "changed-values")
+    parts = [F.array(_value_key(F.lit(c), F.col(c))) for c in columns]
+    parts += [F.coalesce(_elements(c, lambda field, x: _value_key(F.lit(field), x)), F.array().cast("array<bigint>")) for c in arrays]
+    hashes = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.explode(F.concat(*parts)).alias("__h"))
+    met = spread_join(hashes, changed, "__h").select("__key", F.explode("__entries").alias("e"))
+    # of a row: its changed values, each once
+    of_row = met.groupBy("__key").agg(F.collect_set("e").alias("__changes"))
+
+    def replaced(field: str, value: Column) -> Column:
+        own = F.filter("__changes", lambda e: (e["field_name"] == field) & (e["value"] == value))
+        return F.coalesce(F.get(own, F.lit(0))["canonical"], value)
+
+    out = df.join(of_row, F.col(key) == F.col("__key"), "left")
+    has = F.col("__changes").isNotNull()
+    for c in columns:
+        out = out.withColumn(c, F.when(has, replaced(c, F.col(c))).otherwise(F.col(c)))
+    for c in arrays:
+        out = out.withColumn(c, F.when(has, _elements(c, replaced)).otherwise(F.col(c)))
+    return out.drop("__key", "__changes")

@@ -3,7 +3,8 @@
 Every document gets the key -ln(u) / weight with u from a hash of its id, so sorting a source by key is weighted sampling
 without replacement. A source's token budget is its share of the total; it is met by complete epochs over all its documents,
 then by a fractional selection: the prefix, in key order, whose tokens fill what is left. Running sums are taken over
-buckets of keys, so a source holding a third of all rows is spread over many tasks.
+ranges of (source, key) of about equally many documents, so a source holding a third of all rows is spread over many tasks,
+whatever its weights.
 
 Defined results: sources without target take no part; null and non-positive weights count as the least weight; documents
 without tokens are drawn in complete epochs only; the reached share of a source without documents is 0.
@@ -14,11 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kikitori.operators.prefix import prefix_sum
+from kikitori.operators.prefix import prefix_sum, range_buckets
 from kikitori.session import cut
 
 LEAST_WEIGHT = 0.05
-KEY_BUCKETS = 256
 
 
 def uniform(seed: int, *ids: Column) -> Column:
@@ -57,7 +57,7 @@ def draw_mix(documents: DataFrame, targets: DataFrame, seed: int = 17, total_tok
         "max_repeats",
     )
     drawn = docs.join(budgets, "source").withColumn("key", sampling_key(seed, F.col("doc_id"), F.col("weight")))
-    drawn = drawn.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * KEY_BUCKETS).cast("int"))
+    drawn = range_buckets(drawn, ["source", "key", "doc_id"], "bucket", docs.count())
     run = prefix_sum(drawn, ["source"], "bucket", ["key", "doc_id"], "n_tokens", "before")
     part = (F.col("n_tokens") > 0) & (F.col("before") + F.col("n_tokens") / 2 <= F.col("open")) & (F.col("epochs") < F.col("max_repeats"))
     return run.select("doc_id", "source", "n_tokens", (F.col("epochs") + part.cast("int")).alias("repeats")).where("repeats > 0")

@@ -113,14 +113,19 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each value that has look-alikes: its class and the number of its members."""
+    return lookalike_classes(_manifest_values(spark, d))
+
+
 def p5_canonical_speakers(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "manifest").select("row_id", "speaker_id")
-    return canonicalize(m, ["speaker_id"]).groupBy("speaker_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return canonicalize(m, "row_id", ["speaker_id"]).groupBy("speaker_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def p5_canonical_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Every row of manifest, with text, captions and speaker in their consistent form."""
-    return canonicalize(table(spark, d, "manifest"), ["text", "speaker_id"], ["caption"])
+    return canonicalize(table(spark, d, "manifest"), "row_id", ["text", "speaker_id"], ["caption"])
 
 
 def _size_limit(spark: SparkSession, d: str, kind: str):
@@ -189,6 +194,7 @@ def queries():
         "p3_split_shares": p3_split_shares,
         "p5_found": p5_found,
         "p5_classes": p5_classes,
+        "p5_members": p5_members,
         "p5_canonical_speakers": p5_canonical_speakers,
         "p5_canonical_manifest": p5_canonical_manifest,
         "p7_found": p7_found,

@@ -5,7 +5,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from kikitori.llm.lookalike import canonicalize, fold_table, lookalike_classes, lookalike_pairs, stored_values
+from kikitori.llm.lookalike import canonicalize, fold_table, lookalike_classes, lookalike_pairs, shared_forms, stored_values
 
 
 def python_form(x):
@@ -53,8 +53,9 @@ def test_canonical_member_arrays_and_empty(spark):
     df = spark.createDataFrame([(1, ["ﾊﾙﾀ", None, "ハルタ"]), (2, None), (3, [])], "id int, caption array<string>")
     c = lookalike_classes(stored_values(df, [], ["caption"])).collect()
     assert {(r.field_name, r.value, r.canonical) for r in c} == {("caption", "ﾊﾙﾀ", "ハルタ"), ("caption", "ハルタ", "ハルタ")}
-    t = frame(spark, ["ﾊﾙﾀ", "ハルタ", "x", None, "ﾊﾙﾀ"])
-    assert sorted(str(r.text) for r in canonicalize(t, ["text"]).collect()) == ["None", "x", "ハルタ", "ハルタ", "ハルタ"]
+    t = spark.createDataFrame([(i, v, "clash") for i, v in enumerate(["ﾊﾙﾀ", "ハルタ", "x", None, "ﾊﾙﾀ"])] + [(None, "ﾊﾙﾀ", "kept")], "id int, text string, value string")
+    got = canonicalize(t, "id", ["text"])
+    assert got.columns == t.columns and sorted(str(r.text) for r in got.collect()) == ["None", "x", "ハルタ", "ハルタ", "ハルタ", "ﾊﾙﾀ"]
     assert lookalike_pairs(stored_values(t.where("false"), ["text"])).count() == 0
 
 
@@ -78,3 +79,13 @@ def test_canonical_rows_of_manifest(spark, tmp_path):
     got = sorted(((r.row_id, r.text, r.caption, r.speaker_id) for r in queries()["p5_canonical_manifest"](spark, str(tmp_path)).collect()), key=lambda r: r[0])
     want = [(1, "ハルタ", ["b", None, "ハルタ", "a", "ハルタ"], "café"), (2, "ハルタ", ["ハルタ"], "café"), (2, "ハルタ", ["ハルタ"], "café"), (3, None, None, None), (4, "x", [], "y"), (5, "ハルタ", ["ハルタ"], None)]
     assert got == want
+
+
+def test_hangul_by_letters_and_syllables(spark):
+    words = ["한국어", unicodedata.normalize("NFD", "한국어"), "나라", "학교", unicodedata.normalize("NFD", "학교"), "하교", "가", "각"]
+    values = stored_values(frame(spark, words), ["text"])
+    got = {(r.value_a, r.value_b) for r in lookalike_pairs(values).collect()}
+    assert got == {tuple(sorted((w, unicodedata.normalize("NFD", w)), key=lambda x: x.encode())) for w in ("한국어", "학교")}
+    # words of other initials never meet
+    assert {r.value for r in shared_forms(values).collect()}.isdisjoint({"나라"})
+    assert {r.n_members for r in lookalike_classes(values).collect()} == {2}
