@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -200,3 +200,14 @@ def ema_peak_hold(x: Column, alpha: float = 0.35, gravity: float = 0.15, height:
 def token_sum_duration(logits: Column, mask: Column) -> Column:
     soft = F.transform(logits, lambda v: F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v))))
     return F.log1p(F.greatest(total(F.zip_with(soft, mask, lambda v, m: F.when(m, v).otherwise(0.0))), F.lit(0.0)))
+
+
+def pad_batches(df: DataFrame, batch: str, x: str) -> DataFrame:
+    """``df`` with ``padded`` (``x`` and zeros up to the longest of its batch) and ``mask`` (true where ``x`` reaches): what a
+    collate step hands to a model. Null arrays are empty; batches are reduced to their longest row before the join."""
+    longest = df.groupBy(batch).agg(F.max(F.size(F.coalesce(F.col(x), F.array().cast("array<double>")))).alias("__most"))
+    own = F.coalesce(F.col(x), F.array().cast("array<double>"))
+    most = F.greatest("__most", F.lit(0))
+    out = df.join(longest.withColumnRenamed(batch, "__batch"), F.col(batch).eqNullSafe(F.col("__batch")))
+    padded = F.concat(own, F.array_repeat(F.lit(0.0), most - F.size(own)))
+    return out.withColumns({"padded": padded, "mask": F.concat(F.array_repeat(F.lit(True), F.size(own)), F.array_repeat(F.lit(False), most - F.size(own)))}).drop("__batch", "__most")

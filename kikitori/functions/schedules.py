@@ -42,8 +42,16 @@ def clamped_t(z: Column, low: float = 1e-3, high: float = 0.999) -> Column:
     return F.least(F.greatest(sigmoid(z), F.lit(low)), F.lit(high))
 
 
-def logit_normal_t(seed: int, mu: float = 0.0, sigma: float = 1.0) -> Column:
-    return clamped_t(F.randn(seed) * sigma + mu)
+def keyed_uniform(seed: int, key: Column) -> Column:
+    """A number in (0, 1) from a digest of seed and key: the same whatever the partitioning."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 8)
+    return (F.conv(digits, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(4294967296.0)
+
+
+def logit_normal_t(seed: int, key: Column, mu: float = 0.0, sigma: float = 1.0) -> Column:
+    """Logit-normal draws, keyed: two uniform numbers of a key make a normal one."""
+    normal = F.sqrt(-2 * F.ln(keyed_uniform(seed, key))) * F.cos(F.lit(2 * math.pi) * keyed_uniform(seed + 1, key))
+    return clamped_t(normal * sigma + mu)
 
 
 @F.pandas_udf(DoubleType())

@@ -44,6 +44,11 @@ def rank_stride(idx: Column, start: int, world: int) -> Column:
     return F.when(idx >= start, F.pmod(idx, F.lit(world)))
 
 
+def rank_stream(idx: Column, skip: int, world: int) -> Column:
+    """Rank of a row of a stream that is sharded first: each rank skips the first ``skip`` rows of its own; null for those."""
+    return F.when(F.floor(idx / F.lit(world)) >= skip, F.pmod(idx, F.lit(world)))
+
+
 def rank_contiguous(idx: Column, start: int, total: int, world: int) -> Column:
     """Rank where each rank takes a block of ceil(rows / world); the last block may be short."""
     per = -(-max(total - start, 0) // world) or 1

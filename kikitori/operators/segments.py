@@ -84,13 +84,27 @@ def regroup_words(words: DataFrame, keys: Sequence[str], start: str, end: str, t
 
 def assign_speakers(words: DataFrame, turns: DataFrame, keys: Sequence[str], bucket_seconds: float = 10.0) -> DataFrame:
     """``words`` (keys, word_id, ws, we) with the speaker of the turn (keys, speaker, ts, te) they overlap most; ties go to
-    the smaller name, no overlap gives null. Times are cut into buckets, so the overlap join is an equi-join."""
+    the smaller name, no overlap gives null.
+
+    Times are cut into buckets, 256 of which are a bucket of the next level. A stretch belongs to the first level at which it
+    touches at most two buckets, and is listed there and on the levels above, so it makes at most two rows a level, however
+    long it is; a word and a turn meet on the higher of their levels, in an equi-join."""
+    levels = 6
 
     def buckets(df, a, b):
-        return df.withColumn("__b", F.explode(F.sequence(F.floor(F.col(a) / bucket_seconds), F.floor(F.col(b) / bucket_seconds))))
+        first, last = F.floor(F.col(a) / bucket_seconds).cast("bigint"), F.floor(F.col(b) / bucket_seconds).cast("bigint")
+        rows, own = [], F.lit(levels - 1)
+        for level in reversed(range(levels)):
+            own = F.when(F.shiftright(last, 8 * level) - F.shiftright(first, 8 * level) <= 1, F.lit(level)).otherwise(own)
+        for level in range(levels):
+            lo, hi = F.shiftright(first, 8 * level), F.shiftright(last, 8 * level)
+            rows += [F.when(own <= level, F.struct(F.lit(level).alias("__l"), lo.alias("__b"), own.alias("own"))), F.when((own <= level) & (hi > lo), F.struct(F.lit(level).alias("__l"), hi.alias("__b"), own.alias("own")))]
+        listed = df.select("*", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("__r"))
+        return listed.select(*df.columns, "__r.__l", "__r.__b", F.col("__r.own").alias(f"__own_{a}"))
 
     t = buckets(turns.where("te > ts").select(*keys, "speaker", "ts", "te").distinct(), "ts", "te")
-    pairs = buckets(words, "ws", "we").join(t, [*keys, "__b"]).where("ts < we AND te > ws").drop("__b").distinct()
+    met = buckets(words, "ws", "we").join(t, [*keys, "__l", "__b"]).where("ts < we AND te > ws AND __l = greatest(__own_ws, __own_ts)")
+    pairs = met.drop("__l", "__b", "__own_ws", "__own_ts").distinct()
     best = pairs.groupBy(*keys, "word_id", "speaker").agg(F.sum(F.least("we", "te") - F.greatest("ws", "ts")).alias("o"))
     best = best.groupBy(*keys, "word_id").agg(F.min_by("speaker", F.struct(-F.col("o"), "speaker")).alias("speaker"))
     return words.join(best, [*keys, "word_id"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kikitori.functions import arrays as A
 from kikitori.functions import schedules as H
 from kikitori.operators import cluster as C
+from kikitori.operators.checks import REQUEST_RULES, first_broken, first_broken_sql
 from kikitori.operators.prefix import hash_bucket
 from kikitori.plans.base import Book
 from kikitori.plans.tables import table
@@ -41,15 +42,7 @@ def q_usable(spark, d):
     return C.usable(vectors(spark, d), "x").agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.query("pairwise_cosine", E_SQL + ", q AS (SELECT * FROM e WHERE vec_id % 20 = 0) SELECT q.vec_id AS a, e.vec_id AS b, round(1 - list_dot_product(q.x, e.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(e.x, e.x))), 6) AS distance FROM q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id")
-def q_pairs(spark, d):
-    # a label may hold a third of all vectors: its vectors are spread over salts, the queries copied to each
-    e = vectors(spark, d).select("vec_id", "label", A.l2_normalize(F.col("x")).alias("x")).withColumn("salt", hash_bucket(F.col("vec_id"), buckets=SALTS))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return q.join(e, ["label", "salt"]).where("a <> vec_id").select("a", F.col("vec_id").alias("b"), F.round(1 - A.dot(F.col("y"), F.col("x")), 6).alias("distance"))
-
-
-@book.query("pairwise_cosine_all", E_SQL + ", q AS (SELECT * FROM e WHERE vec_id % 20 = 0) SELECT q.vec_id AS a, e.vec_id AS b, round(1 - list_dot_product(q.x, e.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(e.x, e.x))), 6) AS distance FROM q JOIN e ON q.vec_id <> e.vec_id")
+@book.query("pairwise_cosine", E_SQL + ", q AS (SELECT * FROM e WHERE vec_id % 20 = 0) SELECT q.vec_id AS a, e.vec_id AS b, round(1 - list_dot_product(q.x, e.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(e.x, e.x))), 6) AS distance FROM q JOIN e ON q.vec_id <> e.vec_id")
 def q_pairs_all(spark, d):
     # against all rows, whatever their label; the queries are copied to each salt
     e = vectors(spark, d).select("vec_id", A.l2_normalize(F.col("x")).alias("x")).withColumn("salt", hash_bucket(F.col("vec_id"), buckets=SALTS))
@@ -81,11 +74,15 @@ def q_patch_mask(spark, d):
     return vectors(spark, d).select("vec_id", A.patch_mask(either, 2).alias("m"))
 
 
-@book.query("pad_latents", E_SQL + "SELECT vec_id, list_transform(range(0, 80), lambda i: CASE WHEN i < 40 + vec_id % 24 THEN round(x[i + 1], 9) ELSE 0 END) AS padded, 40 + vec_id % 24 AS n_valid FROM e")
+@book.query(
+    "pad_latents",
+    E_SQL + ", b AS (SELECT vec_id, x, vec_id // 8 AS batch, 40 + vec_id * 7 % 24 AS n FROM e), m AS (SELECT *, max(n) OVER (PARTITION BY batch) AS most FROM b) SELECT vec_id, list_transform(range(0, most), lambda i: CASE WHEN i < n THEN round(x[i + 1], 9) ELSE 0 END) AS padded, n AS n_valid FROM m",
+)
 def q_pad(spark, d):
-    n = (40 + F.col("vec_id") % 24).cast("int")
-    x = F.slice(F.col("x"), F.lit(1), n)
-    return vectors(spark, d).select("vec_id", r9(A.pad_rows(x, 80, F.lit(0.0))).alias("padded"), F.size(F.filter(A.valid_mask(n, 80), lambda m: m)).cast("bigint").alias("n_valid"))
+    """Rows of a batch padded to the longest of the batch."""
+    n = (40 + F.col("vec_id") * 7 % 24).cast("int")
+    b = vectors(spark, d).select("vec_id", F.floor(F.col("vec_id") / 8).alias("batch"), n.alias("n"), F.slice("x", F.lit(1), n).alias("x"))
+    return A.pad_batches(b, "batch", "x").select("vec_id", r9(F.col("padded")).alias("padded"), F.size(F.filter("mask", lambda m: m)).cast("bigint").alias("n_valid"))
 
 
 @book.query("coerce_layout", E_SQL + "SELECT vec_id, list_transform(range(0, 16), lambda i: round(x[i + 1], 9)) AS first_row FROM e")
@@ -153,14 +150,8 @@ def q_bands(spark, d):
     return vectors(spark, d).select("vec_id", r9(A.band_means(F.col("x"), 7)).alias("bands"))
 
 
-@book.query("lut_map", "WITH i AS (SELECT vec_id, floor(vec_id * 255 / 499.0) / 255.0 AS v FROM embeddings WHERE vec_id < 500) SELECT vec_id, CASE WHEN v <= 0.25 THEN 0 + CAST(trunc(v / 0.25 * 79) AS INTEGER) WHEN v <= 0.5 THEN 79 + CAST(trunc((v - 0.25) / 0.25 * 103) AS INTEGER) ELSE 182 + CAST(trunc((v - 0.5) / 0.5 * 70) AS INTEGER) END AS red FROM i")
+@book.query("lut_map", "WITH i AS (SELECT vec_id, floor((vec_id % 500) * 255 / 499.0) / 255.0 AS v FROM embeddings) SELECT vec_id, CASE WHEN v <= 0.25 THEN 0 + CAST(trunc(v / 0.25 * 79) AS INTEGER) WHEN v <= 0.5 THEN 79 + CAST(trunc((v - 0.25) / 0.25 * 103) AS INTEGER) ELSE 182 + CAST(trunc((v - 0.5) / 0.5 * 70) AS INTEGER) END AS red FROM i")
 def q_lut(spark, d):
-    v = F.col("vec_id") / 499.0
-    return table(spark, d, "embeddings").where("vec_id < 500").select("vec_id", A.lut_map(v, [(0.0, 0), (0.25, 79), (0.5, 182), (1.0, 252)]).alias("red"))
-
-
-@book.query("lut_map_all", "WITH i AS (SELECT vec_id, floor((vec_id % 500) * 255 / 499.0) / 255.0 AS v FROM embeddings) SELECT vec_id, CASE WHEN v <= 0.25 THEN 0 + CAST(trunc(v / 0.25 * 79) AS INTEGER) WHEN v <= 0.5 THEN 79 + CAST(trunc((v - 0.25) / 0.25 * 103) AS INTEGER) ELSE 182 + CAST(trunc((v - 0.5) / 0.5 * 70) AS INTEGER) END AS red FROM i")
-def q_lut_all(spark, d):
     v = F.col("vec_id") % 500 / 499.0
     return table(spark, d, "embeddings").select("vec_id", A.lut_map(v, [(0.0, 0), (0.25, 79), (0.5, 182), (1.0, 252)]).alias("red"))
 
@@ -180,9 +171,17 @@ def q_flat(spark, d):
     return vectors(spark, d).select("vec_id", A.flattening_point(rows8(F.col("x")), 3, 0.11, 0.02).cast("bigint").alias("flat"))
 
 
-@book.query("ema_peak_hold")
+@book.query(
+    "ema_peak_hold",
+    "WITH RECURSIVE " + E_SQL.strip().removeprefix("WITH") + """, s AS (SELECT vec_id, list_transform(x, lambda v: (v - list_min(x)) / (list_max(x) - list_min(x))) AS x FROM e),
+r AS (SELECT vec_id, x, 0 AS pos, 0.0::DOUBLE AS level, 0.0::DOUBLE AS peak, 0.0::DOUBLE AS fall FROM s
+UNION ALL SELECT vec_id, x, pos + 1, nl, CASE WHEN h > peak THEN h ELSE greatest(0.0, peak - (fall + 0.15)) END, CASE WHEN h > peak THEN 0.0 ELSE fall + 0.15 END
+FROM (SELECT *, 0.35 * x[pos + 1] + 0.65 * level AS nl, floor((0.35 * x[pos + 1] + 0.65 * level) * 100.0) AS h FROM r WHERE pos < 64))
+SELECT vec_id, pos - 1 AS pos, round(level, 9) AS level, round(peak, 9) AS peak FROM r WHERE pos > 0""",
+)
 def q_ema(spark, d):
-    return vectors(spark, d).select("vec_id", A.ema_peak_hold(A.minmax_scale(F.col("x"))).alias("levels"))
+    levels = A.ema_peak_hold(A.minmax_scale(F.col("x")))
+    return vectors(spark, d).select("vec_id", F.posexplode(levels).alias("pos", "l")).select("vec_id", "pos", F.round("l.level", 9).alias("level"), F.round("l.peak", 9).alias("peak"))
 
 
 @book.query("token_sum_duration", E_SQL + "SELECT vec_id, round(ln(1 + list_sum(list_transform(x[1:40], lambda v: ln(1 + exp(v))))), 9) AS log_frames FROM e")
@@ -202,9 +201,12 @@ def q_t(spark, d):
     return spark.createDataFrame(rows, "i int, linear double, sway double").select("i", F.round("linear", 9).alias("linear"), F.round("sway", 9).alias("sway"))
 
 
-@book.query("logit_normal_t")
+_U = "(CAST(concat('0x', left(md5('{0}|' || CAST(vec_id AS VARCHAR)), 8)) AS BIGINT) + 0.5) / 4294967296.0"
+
+
+@book.query("logit_normal_t", f"WITH u AS (SELECT vec_id, {_U.format(7)} AS a, {_U.format(8)} AS b FROM embeddings) SELECT vec_id, round(least(greatest(1 / (1 + exp(-(sqrt(-2 * ln(a)) * cos(2 * pi() * b)))), 0.001), 0.999), 9) AS t FROM u")
 def q_logit(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", H.logit_normal_t(7).alias("t"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(H.logit_normal_t(7, F.col("vec_id")), 9).alias("t"))
 
 
 @book.query("stratified_t")
@@ -255,7 +257,15 @@ def q_clip(spark, d):
     return table(spark, d, "manifest").select("row_id", H.clip_frames(F.col("num_frames").cast("double"), 1.1, 48000, 1920, 0.5, 30.0).alias("frames"))
 
 
-@book.query("request_validation", "SELECT row_id, CASE WHEN coalesce(text, '') = '' THEN 'text' WHEN num_frames IS NOT NULL AND num_frames < 1 THEN 'frames' WHEN num_frames > 750 AND speaker_id IS NULL THEN 'length' WHEN caption IS NULL AND speaker_id IS NULL THEN 'condition' END AS reason FROM manifest")
+_REQUEST = """SELECT row_id, CAST(num_frames % 60 - 1 AS DOUBLE) AS seconds, CAST(row_id % 23 AS DOUBLE) / 10 AS duration_scale, CAST(row_id % 29 AS DOUBLE) / 10 AS min_seconds,
+CAST(row_id % 31 AS DOUBLE) AS max_seconds, row_id % 17 AS num_candidates, CASE WHEN row_id % 19 = 0 THEN 'tree' WHEN row_id % 2 = 0 THEN ' Batch' ELSE 'sequential' END AS decode_mode,
+coalesce(text, '') AS clean_text, CASE WHEN row_id % 5 = 0 THEN row_id % 37 END AS max_text_len, caption IS NOT NULL AS uses_caption, CASE WHEN row_id % 7 = 0 THEN row_id % 11 END AS max_caption_len,
+CASE WHEN row_id % 3 = 0 THEN CAST(row_id % 13 AS DOUBLE) END AS truncation_factor, CASE WHEN row_id % 8 <> 1 THEN CAST(row_id % 41 AS DOUBLE) END AS rescale_k,
+CASE WHEN row_id % 8 NOT IN (1, 2) THEN CAST(row_id % 43 AS DOUBLE) END AS rescale_sigma, speaker_id IS NOT NULL AS uses_speaker, CASE WHEN row_id % 4 = 0 THEN CAST(row_id % 14 AS DOUBLE) END AS speaker_kv_scale,
+CASE WHEN row_id % 6 = 0 THEN CAST(row_id % 9 AS DOUBLE) / 4 END AS speaker_kv_min_t, row_id % 10 - 2 AS speaker_kv_max_layers, CASE WHEN row_id % 12 = 5 THEN 'serial' ELSE 'Joint' END AS cfg_guidance_mode FROM {0}"""
+
+
+@book.query("request_validation", f"WITH r AS ({_REQUEST.format('manifest')}) SELECT row_id, {first_broken_sql(REQUEST_RULES)} AS reason FROM r")
 def q_request(spark, d):
-    r = F.when(F.coalesce("text", F.lit("")) == "", "text").when(F.col("num_frames") < 1, "frames").when((F.col("num_frames") > 750) & F.col("speaker_id").isNull(), "length").when(F.col("caption").isNull() & F.col("speaker_id").isNull(), "condition")
-    return table(spark, d, "manifest").select("row_id", r.alias("reason"))
+    requests = spark.sql(_REQUEST.format("{m}"), m=table(spark, d, "manifest"))
+    return requests.select("row_id", first_broken(REQUEST_RULES).alias("reason"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import io
+import json
 import wave
 
 import pandas as pd
@@ -15,6 +16,7 @@ from kikitori.functions import text as T
 from kikitori.operators import manifest as M
 from kikitori.operators import segments as S
 from kikitori.operators.boundary import with_model
+from kikitori.operators.checks import SETTINGS_RULES, first_broken, first_broken_sql
 from kikitori.plans import config
 from kikitori.plans.array_queries import E_SQL, r9, vectors
 from kikitori.plans.base import Book
@@ -24,6 +26,7 @@ from kikitori.plans.tables import table
 from kikitori.plans.text_queries import COUNTS, _CAND, _cap
 from kikitori.sources import readers as R
 from kikitori.sources import writers as W
+from kikitori.session import drop_table
 
 book = Book()
 queries, oracle_sql = book.queries, book.oracle_sql
@@ -103,9 +106,24 @@ def q_scan_checkpoints(spark, d):
     return c.agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(F.col("kind") == "best").cast("int").alias("best"))
 
 
-@book.query("scan_yaml", "SELECT 'steps' AS name, 5 AS v")
+_YAML = """# settings
+train:
+  steps: 5
+  rate: 1.0e-4
+  mode: 'rf'   # a comment
+  splits: [train, valid]
+model:
+  layers:
+    - 2
+    - 4
+  name: "base: v1"
+"""
+
+
+@book.query("scan_yaml", "SELECT unnest(['model.layers', 'model.name', 'train.mode', 'train.rate', 'train.splits', 'train.steps']) AS name, unnest(['[2, 4]', '\"base: v1\"', '\"rf\"', '0.0001', '[\"train\", \"valid\"]', '5']) AS value")
 def q_yaml(spark, d):
-    return spark.createDataFrame(list(config.load_mapping('{"steps": 5}').items()), "name string, v int")
+    flat = [(f"{part}.{k}", json.dumps(v)) for part, own in config.load_mapping(_YAML).items() for k, v in own.items()]
+    return spark.createDataFrame(flat, "name string, value string")
 
 
 @dataclasses.dataclass
@@ -121,10 +139,19 @@ def q_overlay(spark, d):
     return spark.createDataFrame([dataclasses.astuple(s)], "steps int, ratio double, batch int")
 
 
-@book.query("config_validation", "SELECT row_id, CASE WHEN num_frames IS NULL THEN 'num_frames is missing' WHEN num_frames NOT BETWEEN 1 AND 4000 THEN 'num_frames is out of range' WHEN source IS NULL AND speaker_id IS NULL THEN 'source or speaker_id is needed' END AS problem FROM manifest")
+_SETTINGS = """SELECT p_partkey, p_partkey % 2 = 0 AS speaker_inversion_enabled, p_partkey % 11 <> 0 AS use_speaker_condition, CASE WHEN p_partkey % 5 <> 0 THEN 'base' END AS init_checkpoint,
+CASE WHEN p_partkey % 9 = 0 THEN 'last' END AS resume, p_partkey % 7 = 0 AS lora_enabled, CASE WHEN p_partkey % 13 = 0 THEN 'duration_only' ELSE 'rf' END AS train_mode, p_partkey % 17 = 0 AS caption_warmup,
+p_partkey % 19 AS speaker_inversion_tokens, p_partkey % 23 - 1 AS speaker_inversion_init_std, (p_partkey % 29) / 27.0 AS caption_condition_dropout, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 31 END AS fixed_target_latent_steps,
+p_partkey % 37 = 0 AS fixed_target_full_mask, CASE WHEN p_partkey % 41 = 0 THEN 'mse' ELSE 'Echo ' END AS rf_loss_mode, p_partkey % 43 - 1 AS duration_loss_weight, (p_partkey % 47) / 45.0 AS duration_speaker_dropout,
+(p_partkey % 53) / 51.0 AS duration_caption_dropout, p_partkey % 59 AS duration_huber_delta, p_partkey % 4 <> 1 AS use_duration_predictor, p_partkey % 61 AS duration_aux_dim, p_partkey % 67 AS duration_hidden_dim,
+p_partkey % 71 AS duration_layers, (p_partkey % 73) / 71.0 AS duration_dropout, p_partkey % 8 AS duration_attention_heads, 840 + p_partkey % 2 * 3 AS text_dim, p_partkey % 79 AS duration_token_init_frames,
+p_partkey % 83 - 1 AS caption_warmup_steps, p_partkey % 89 AS dataloader_prefetch_factor, (p_partkey % 22) / 20.0 AS valid_ratio, p_partkey % 12 - 1 AS valid_every, p_partkey % 97 - 1 AS checkpoint_best_n,
+(p_partkey % 15) / 13.0 AS lora_dropout, p_partkey % 16 AS lora_r, p_partkey % 18 AS lora_alpha FROM {0}"""
+
+
+@book.query("config_validation", f"WITH s AS ({_SETTINGS.format('part')}) SELECT p_partkey, {first_broken_sql(SETTINGS_RULES)} AS problem FROM s")
 def q_validation(spark, d):
-    p = F.when(F.col("num_frames").isNull(), "num_frames is missing").when(~F.col("num_frames").between(1, 4000), "num_frames is out of range").when(F.col("source").isNull() & F.col("speaker_id").isNull(), "source or speaker_id is needed")
-    return table(spark, d, "manifest").select("row_id", p.alias("problem"))
+    return spark.sql(_SETTINGS.format("{p}"), p=table(spark, d, "part")).select("p_partkey", first_broken(SETTINGS_RULES).alias("problem"))
 
 
 @book.query("unknown_keys", "SELECT unnest(['speed', 'tempo']) AS name")
@@ -133,16 +160,19 @@ def q_unknown(spark, d):
     return spark.range(1).select(F.explode(F.array_sort(F.array_except(given, known))).alias("name"))
 
 
-@book.query("sink_ranked_shards", "SELECT DISTINCT 'shard.rank' || lpad(CAST(row_id % 12 AS VARCHAR), 2, '0') AS name FROM manifest")
+@book.query("sink_ranked_shards", "SELECT row_id % 12 AS rank, count(*) AS n FROM manifest GROUP BY 1")
 def q_ranked(spark, d):
-    r = F.col("row_id") % 12
-    return table(spark, d, "manifest").select(F.concat(F.lit("shard.rank"), F.lpad(r.cast("string"), 2, "0")).alias("name")).distinct()
+    to = place(spark, "ranked")
+    W.write_shards(table(spark, d, "manifest").select("row_id", F.pmod("row_id", F.lit(12)).alias("rank")), "rank", to)
+    return spark.read.schema("row_id bigint, rank bigint").parquet(to).groupBy("rank").agg(n_rows())
 
 
 @book.query("merge_shards", "SELECT row_id, row_id % 3 AS rank FROM manifest WHERE row_id % 3 <> 1")
 def q_merge(spark, d):
-    parts = table(spark, d, "manifest").select("row_id", F.pmod("row_id", F.lit(3)).alias("rank")).where("rank <> 1")  # a missing shard adds nothing
-    return W.merged_shards(parts, "rank", "row_id")
+    to = place(spark, "shards")
+    W.write_shards(table(spark, d, "manifest").select("row_id", F.pmod("row_id", F.lit(3)).alias("rank")), "rank", to)
+    drop_table(spark, f"{to}/rank=1")  # a missing shard adds nothing
+    return W.merged_shards(spark.read.schema("row_id bigint, rank bigint").parquet(to), "rank", "row_id")
 
 
 @book.query("global_order", "SELECT row_id, row_id % 3 AS rank FROM manifest")
@@ -177,9 +207,10 @@ def q_stages(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.round(F.sum("value"), 4).alias("seconds"), n_rows())
 
 
-@book.query("speaker_namespace", "SELECT 'org-data-ja-v1' AS namespace, 'dataset' AS fallback")
+@book.query("speaker_namespace", "WITH s AS (SELECT DISTINCT source FROM manifest) SELECT source, CASE WHEN trim(coalesce(source, '')) = '' THEN 'dataset' ELSE 'org-' || trim(regexp_replace(regexp_replace(trim(source), '[^A-Za-z0-9_.-]+', '-', 'g'), '-{2,}', '-', 'g'), '-_.') || '-v1' END AS namespace FROM s")
 def q_namespace(spark, d):
-    return spark.createDataFrame([(T.sanitize_one("org/data" + ":" + "ja:v1"), T.sanitize_one(" ", "dataset"))], "namespace string, fallback string")
+    raw = F.concat(F.lit("org/"), F.col("source"), F.lit(":v1"))
+    return table(spark, d, "manifest").select("source").distinct().select("source", T.sanitize_id(F.when(F.trim("source") != "", raw), "dataset").alias("namespace"))
 
 
 @book.query("trim_seconds", E_SQL + "SELECT vec_id, list_transform(x[1:37], lambda v: round(v, 9)) AS x FROM e")
@@ -291,11 +322,12 @@ def q_sum(spark, d):
     return losses(spark, d).groupBy("rank").agg(n_rows(), F.round(F.sum("err"), 4).alias("total"))
 
 
-@book.query("rank_shard", "SELECT row_id, row_id % 4 AS stride, CAST(floor(row_id / CAST(ceil((SELECT max(row_id) + 1 FROM manifest) / 4.0) AS BIGINT)) AS BIGINT) AS contiguous FROM manifest")
+@book.query("rank_shard", "SELECT row_id, row_id % 4 AS stride, CAST(floor(row_id / CAST(ceil((SELECT max(row_id) + 1 FROM manifest) / 4.0) AS BIGINT)) AS BIGINT) AS contiguous, CASE WHEN row_id // 4 >= 10 THEN row_id % 4 END AS stream FROM manifest")
 def q_shard(spark, d):
     m = table(spark, d, "manifest")
     total = m.agg(F.max("row_id")).first()[0] + 1
-    return m.select("row_id", M.rank_stride(F.col("row_id"), 0, 4).alias("stride"), M.rank_contiguous(F.col("row_id"), 0, total, 4).alias("contiguous"))
+    r = F.col("row_id")
+    return m.select("row_id", M.rank_stride(r, 0, 4).alias("stride"), M.rank_contiguous(r, 0, total, 4).alias("contiguous"), M.rank_stream(r, 10, 4).alias("stream"))
 
 
 @book.query("strategy_auto", "SELECT 'contiguous' AS map_style, 'dataset' AS stream, 'stride' AS named")
@@ -383,10 +415,18 @@ def q_audio(spark, d):
     return v.select("vec_id", F.size(c).alias("channels"), F.size(c[0]).alias("frames"), F.round(c[0][1], 9).alias("second"))
 
 
-@book.query("scan_wav_dir", "SELECT CASE diar_id % 3 WHEN 0 THEN 'SPEAKER_00' WHEN 1 THEN 'SPEAKER_01' ELSE 'SPEAKER_02' END AS label, count(*) AS n FROM diarization WHERE duration >= 60 GROUP BY 1")
+@book.query("scan_wav_dir", "SELECT r_name AS label, count(*) AS n, round(sum((n_nationkey + 1) * 0.01), 6) AS seconds FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey >= 4 GROUP BY 1")
 def q_wav_dir(spark, d):
-    path = F.concat(F.lit("/data/SPEAKER_0"), (F.col("diar_id") % 3).cast("string"), F.lit("/"), F.col("audio_file"))
-    return table(spark, d, "diarization").where("duration >= 60").groupBy(F.element_at(F.split(path, "/"), -2).alias("label")).agg(n_rows())
+    """One WAV file for each nation, in a folder for each region, written and scanned; those under 0.05 s are left out."""
+    to = place(spark, "wavs")
+    named = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path(to).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in named.select("r_name", "n_nationkey").collect():  # 25 rows at every scale
+        out = fs.create(path(f"{to}/{r['r_name']}/{r['r_name']}_{r['n_nationkey']:04d}.wav"))
+        out.write(bytearray(_wav((r["n_nationkey"] + 1) * 80)))
+        out.close()
+    return R.scan_wav_folders(spark, to, 0.05).groupBy("label").agg(n_rows(), F.round(F.sum("seconds"), 6).alias("seconds"))
 
 
 @book.query("best_val_names", "SELECT count(*) FILTER (o_orderkey % 4 = 1) AS best, count(*) FILTER (o_orderkey % 4 IN (0, 2)) AS periodic FROM orders")

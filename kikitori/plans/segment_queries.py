@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from kikitori.operators import metrics as X
 from kikitori.operators import segments as S
 from kikitori.plans.base import Book
+from kikitori.plans.source_queries import place
 from kikitori.plans.tables import table
+from kikitori.sources import readers as R
 
 book = Book()
 queries, oracle_sql = book.queries, book.oracle_sql
@@ -25,9 +27,15 @@ def segs(spark, d):
     return t.where("speaker IS NOT NULL AND b > a")
 
 
-@book.query("scan_diarization_json", SEG + "SELECT * FROM seg")
+@book.query("scan_diarization_json", SEG + "SELECT diar_id, speaker, pos, a, b FROM seg")
 def q_scan(spark, d):
-    return segs(spark, d)
+    """Documents written as JSON lines and read back; the id travels in the name."""
+    to = place(spark, "diarization")
+    t = table(spark, d, "diarization")
+    names = F.transform("segments", lambda s: F.struct(s["speaker"].alias("speaker"), s["start_s"].alias("start"), s["end_s"].alias("end"), s["duration"].alias("duration")))
+    t.select(F.concat_ws("|", "diar_id", "audio_file").alias("audio_file"), "duration", "num_speakers", "model", names.alias("segments")).write.json(to)
+    back = R.read_diarization(spark, to, lines=True).where("speaker IS NOT NULL AND `end` > start")
+    return back.select(F.substring_index("audio_file", "|", 1).cast("bigint").alias("diar_id"), "speaker", (F.col("pos") + 1).alias("pos"), F.col("start").alias("a"), F.col("end").alias("b"))
 
 
 @book.query("segment_numbering", SEG + "SELECT diar_id, speaker, pos, CAST(row_number() OVER (PARTITION BY diar_id, speaker ORDER BY pos) AS INTEGER) AS idx FROM seg WHERE CAST(trunc(b * 16000) AS BIGINT) - CAST(trunc(a * 16000) AS BIGINT) >= 16000")
@@ -129,12 +137,11 @@ def q_rollup(spark, d):
     return segs(spark, d).groupBy("diar_id").agg(F.count_distinct("speaker").alias("num_speakers"), F.max("b").alias("extent"), F.count(F.lit(1)).alias("n"))
 
 
-@book.query("sink_json_doc", SEG + """SELECT diar_id, '[' || string_agg('{"speaker":"' || speaker || '","start":' || printf('%.3f', a) || ',"end":' || printf('%.3f', b) || '}', ',' ORDER BY a, b, speaker) || ']' AS segments FROM seg GROUP BY 1""")
+@book.query("sink_json_doc", SEG + """SELECT diar_id, CAST(to_json(list({'speaker': speaker, 'start': round_even(a, 3), 'end': round_even(b, 3)} ORDER BY a, b, speaker)) AS VARCHAR) AS segments FROM seg GROUP BY 1""")
 def q_docs(spark, d):
     one = F.struct(F.bround("a", 3).alias("a"), F.bround("b", 3).alias("b"), "speaker")
-    text = lambda s: F.format_string('{"speaker":"%s","start":%.3f,"end":%.3f}', s["speaker"], s["a"], s["b"])
     g = segs(spark, d).groupBy("diar_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
-    return g.select("diar_id", F.concat(F.lit("["), F.array_join(F.transform("s", text), ","), F.lit("]")).alias("segments"))
+    return g.select("diar_id", F.to_json(F.transform("s", lambda s: F.struct(s["speaker"].alias("speaker"), s["a"].alias("start"), s["b"].alias("end")))).alias("segments"))
 
 
 _WORDS = """WITH w AS (SELECT transcript_id AS rec, s.start_s AS a, s.end_s AS b, s.text AS t, i FROM (SELECT transcript_id, unnest(segments) AS s, generate_subscripts(segments, 1) AS i FROM transcripts) WHERE s.text <> '' AND s.end_s > s.start_s)"""

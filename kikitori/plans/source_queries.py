@@ -45,33 +45,16 @@ def q_jsonl(spark, d):
     return back.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count("speaker_id").alias("speakers"), F.count("caption").alias("captions"), F.sum(F.length("text")).alias("chars"), F.sum(F.size("caption")).alias("elements"))
 
 
-@book.query("sink_csv", "SELECT latent_path AS file_name, text AS transcription FROM manifest WHERE text IS NOT NULL AND text <> '' AND regexp_full_match(text, '[ぁ-んァ-ヶー一-龥々。、？！0-9:]+')")
+@book.query("sink_csv", "SELECT latent_path AS file_name, text AS transcription FROM manifest WHERE text IS NOT NULL")
 def q_csv(spark, d):
-    to = place(spark, "csv")
-    m = table(spark, d, "manifest").where(F.rlike("text", F.lit("^[ぁ-んァ-ヶー一-龥々。、？！0-9:]+$")))
-    W.write_clips(m.select(F.col("latent_path").alias("file_name"), F.col("text").alias("transcription")), to)
-    return R.read_clips(spark, to)
-
-
-@book.query("csv_to_arrow", "SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM manifest WHERE regexp_full_match(text, '[ぁ-んァ-ヶー一-龥々。、？！0-9:]+')")
-def q_piped(spark, d):
-    to = place(spark, "piped")
-    m = table(spark, d, "manifest").where(F.rlike("text", F.lit("^[ぁ-んァ-ヶー一-龥々。、？！0-9:]+$")))
-    W.write_piped(m, to, "latent_path", "text")
-    back = spark.read.option("header", True).option("sep", "|").schema("audio_file string, text string").csv(to)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
-
-
-@book.query("sink_csv_all", "SELECT latent_path AS file_name, text AS transcription FROM manifest WHERE text IS NOT NULL")
-def q_csv_all(spark, d):
     to = place(spark, "csv")
     m = table(spark, d, "manifest").where("text IS NOT NULL")
     W.write_clips(m.select(F.col("latent_path").alias("file_name"), F.col("text").alias("transcription")), to)
     return R.read_clips(spark, to)
 
 
-@book.query("csv_to_arrow_all", "SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM manifest WHERE text IS NOT NULL")
-def q_piped_all(spark, d):
+@book.query("csv_to_arrow", "SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM manifest WHERE text IS NOT NULL")
+def q_piped(spark, d):
     to = place(spark, "piped")
     W.write_piped(table(spark, d, "manifest").where("text IS NOT NULL"), to, "latent_path", "text")
     return R.read_piped(spark, to).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))

@@ -82,14 +82,17 @@ def q_nfkc(spark, d):
     return table(spark, d, "manifest").select("row_id", T.nfkc(F.col("text")).alias("composed"))
 
 
-@book.query("strip_outer_brackets", "SELECT row_id, text AS peeled FROM manifest WHERE NOT regexp_matches(coalesce(text, ''), '^[「『（【(]')")
-def q_brackets(spark, d):
-    m = table(spark, d, "manifest").where(~F.rlike(F.coalesce("text", F.lit("")), F.lit("^[「『（【(]")))
-    return m.select("row_id", T.strip_outer_brackets(F.concat(F.lit("「『"), "text", F.lit("』」"))).alias("peeled"))
+_PAIRS = ", ".join(f"('{o}', '{c}')" for o, c in T.BRACKETS.items())
 
 
-@book.query("strip_outer_brackets_all")
-def q_brackets_all(spark, d):
+@book.query(
+    "strip_outer_brackets",
+    f"""WITH RECURSIVE b(o, c) AS (VALUES {_PAIRS}), r AS (SELECT row_id, text AS t, 0 AS n FROM manifest UNION ALL
+SELECT row_id, substr(t, 2, length(t) - 2), n + 1 FROM r JOIN b ON left(t, 1) = o AND right(t, 1) = c AND length(t) > 1
+AND coalesce(list_bool_and(list_transform(range(1, length(t)), lambda i: length(replace(substr(t, 1, i), c, '')) > length(replace(substr(t, 1, i), o, '')))), true))
+SELECT row_id, arg_max(t, n) AS peeled FROM r GROUP BY 1""",
+)
+def q_brackets(spark, d):
     return table(spark, d, "manifest").select("row_id", T.strip_outer_brackets(F.col("text")).alias("peeled"))
 
 
@@ -173,14 +176,12 @@ def q_adapter(spark, d):
     return table(spark, d, "manifest").select("row_id", T.adapter_name(F.col("latent_path")).alias("adapter"))
 
 
-@book.query("parse_optional_float", "SELECT row_id, CASE WHEN lower(speaker_id) IN ('none', 'null', 'off', 'disable', 'disabled') THEN NULL ELSE TRY_CAST(speaker_id AS DOUBLE) END AS v FROM manifest WHERE regexp_full_match(coalesce(speaker_id, ''), '[0-9a-z]*')")
+@book.query(
+    "parse_optional_float",
+    """WITH s AS (SELECT row_id, translate(lower(regexp_replace(speaker_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), '０１２３４５６７８９', '0123456789') AS s FROM manifest)
+SELECT row_id, CASE WHEN regexp_full_match(s, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?') THEN TRY_CAST(s AS DOUBLE) END AS v FROM s""",
+)
 def q_float(spark, d):
-    m = table(spark, d, "manifest").where(F.rlike(F.coalesce("speaker_id", F.lit("")), F.lit("^[0-9a-z]*$")))
-    return m.select("row_id", T.parse_optional_float(F.col("speaker_id")).alias("v"))
-
-
-@book.query("parse_optional_float_all")
-def q_float_all(spark, d):
     return table(spark, d, "manifest").select("row_id", T.parse_optional_float(F.col("speaker_id")).alias("v"))
 
 
@@ -278,16 +279,20 @@ def q_coverage(spark, d):
     return q_labels(spark, d).select((F.col("with_speaker") < F.col("n")).alias("lacks_speaker"), (F.col("with_caption") < F.col("n")).alias("lacks_caption"))
 
 
-_LINE = "to_json({'row_id': row_id, 'text': text})"
+_LINE = """'{"text":' || CAST(to_json(text) AS VARCHAR) || ',"latent_path":' || CAST(to_json(latent_path) AS VARCHAR) || CASE WHEN num_frames IS NULL THEN '' ELSE ',"num_frames":' || num_frames END
+|| CASE WHEN caption IS NULL THEN '' ELSE ',"caption":' || CAST(to_json(caption) AS VARCHAR) END || CASE WHEN speaker_id IS NULL THEN '' ELSE ',"speaker_id":' || CAST(to_json(speaker_id) AS VARCHAR) END || '}'"""
 
 
 @book.query(
     "manifest_index",
-    "WITH l AS (SELECT row_id, speaker_id, coalesce(text, '') AS line FROM manifest) SELECT row_id, speaker_id, CAST(coalesce(sum(strlen(line) + 1) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM l",
+    f"WITH l AS (SELECT row_id, speaker_id, len({_CAND}) > 0 AS has_caption, {_LINE} AS line FROM manifest WHERE text IS NOT NULL) SELECT row_id, speaker_id, has_caption, CAST(coalesce(sum(strlen(line) + 1) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM l",
 )
 def q_index(spark, d):
-    m = table(spark, d, "manifest").select("row_id", "speaker_id", F.coalesce("text", F.lit("")).alias("line"))
-    return M.line_offsets(m, "row_id", F.col("line")).select("row_id", "speaker_id", "byte_offset")
+    """Offsets of the JSON lines as the writer writes them, in order of row_id."""
+    m = table(spark, d, "manifest").where("text IS NOT NULL")
+    line = F.to_json(F.struct("text", "latent_path", "num_frames", "caption", "speaker_id"), {"ignoreNullFields": "true"})
+    rows = m.select("row_id", "speaker_id", (F.size(T.caption_candidates(F.col("caption"))) > 0).alias("has_caption"), line.alias("line"))
+    return M.line_offsets(rows, "row_id", F.col("line")).select("row_id", "speaker_id", "has_caption", "byte_offset")
 
 
 @book.query("seek_read", "SELECT m.row_id, m.text FROM manifest m JOIN (SELECT DISTINCT row_id FROM review_labels) USING (row_id)")
@@ -332,7 +337,15 @@ def q_names(spark, d):
     return table(spark, d, "manifest").select("row_id", F.format_string("%08d_%08d", F.col("row_id"), F.col("row_id") * 2).alias("name"))
 
 
-@book.query("condition_dropout", f"SELECT row_id, speaker_id IS NOT NULL AND NOT ({DIGITS.format(seed=9, key='row_id')} % 1000000 < 100000) AS use_speaker FROM manifest")
+_DROPS = {"speaker": (9, 100_000), "caption": (10, 100_000), "duration_speaker": (11, 50_000), "duration_caption": (12, 50_000), "text": (13, 100_000)}
+
+
+@book.query(
+    "condition_dropout",
+    "SELECT row_id, " + ", ".join(f"{'TRUE' if k == 'text' else 'speaker_id IS NOT NULL' if 'speaker' in k else f'len({_CAND}) > 0'} AND NOT ({DIGITS.format(seed=s, key='row_id')} % 1000000 < {n}) AS use_{k}" for k, (s, n) in _DROPS.items()) + " FROM manifest",
+)
 def q_dropout(spark, d):
-    drop = T.keyed_number(9, F.col("row_id"), F.lit(1000000)) < 100000
-    return table(spark, d, "manifest").select("row_id", (F.col("speaker_id").isNotNull() & ~drop).alias("use_speaker"))
+    """Conditions for the flow loss and for the duration loss are dropped by draws of their own."""
+    has = {"speaker": F.col("speaker_id").isNotNull(), "caption": F.size(T.caption_candidates(F.col("caption"))) > 0, "text": F.lit(True)}
+    drop = {k: T.keyed_number(seed, F.col("row_id"), F.lit(1000000)) < n for k, (seed, n) in _DROPS.items()}
+    return table(spark, d, "manifest").select("row_id", *[(has[k.removeprefix("duration_")] & ~drop[k]).alias(f"use_{k}") for k in _DROPS])

@@ -79,8 +79,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(need("text").alias("text"), need("latent_path").alias("latent_path"), "num_frames", caption_array(F.col("caption")).alias("caption"), "speaker_id")
 
 
-def read_diarization(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(DIARIZATION).option("multiLine", True).json(path)
+def read_diarization(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """audio_file, pos, speaker, start, end, duration of the segments of JSON documents: one a file, or with ``lines`` one a line."""
+    docs = spark.read.schema(DIARIZATION).option("multiLine", not lines).json(path)
     return docs.select("audio_file", F.posexplode("segments").alias("pos", "s")).select("audio_file", "pos", "s.*")
 
 

@@ -127,7 +127,7 @@ def test_distances_to_all_labels(spark, tmp_path):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 64)).astype(np.float32)
     spark.createDataFrame([(i, f"spk{i % 7}", x[i].tolist()) for i in range(60)], "vec_id bigint, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r.a, r.b): r.distance for r in array_queries.queries()["pairwise_cosine_all"](spark, str(tmp_path)).collect()}
+    got = {(r.a, r.b): r.distance for r in array_queries.queries()["pairwise_cosine"](spark, str(tmp_path)).collect()}
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     assert set(got) == {(a, b) for a in (0, 20, 40) for b in range(60) if a != b}
     assert all(abs(got[a, b] - (1 - u[a] @ u[b])) < 2e-6 for a, b in got)
@@ -138,5 +138,5 @@ def test_lookup_of_all_rows(spark, tmp_path):
 
     ids = [0, 1, 124, 250, 499, 500, 501, 1999, 19_999]
     spark.createDataFrame([(i,) for i in ids], "vec_id bigint").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r.vec_id: r.red for r in array_queries.queries()["lut_map_all"](spark, str(tmp_path)).collect()}
+    got = {r.vec_id: r.red for r in array_queries.queries()["lut_map"](spark, str(tmp_path)).collect()}
     assert sorted(got) == ids and got[500] == got[0] == 0 and got[501] == got[1] and got[499] == got[1999] == got[19_999] == 252
