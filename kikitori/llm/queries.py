@@ -182,6 +182,8 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
+    from kikitori.llm import rules
+
     return {
         "p1_found": p1_found,
         "p1_scores": p1_scores,
@@ -205,8 +207,11 @@ def queries():
         "p9_shares": p9_shares,
         "p10_found": p10_found,
         "p10_restored": p10_restored,
+        **rules.queries(),
     }
 
 
 def oracle_sql():
-    return oracle.SQL
+    from kikitori.llm import rules
+
+    return {**oracle.SQL, **rules.oracle_sql()}
