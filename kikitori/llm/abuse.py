@@ -54,6 +54,8 @@ CLAUSES = (
     ("abuse", "this_insult", "THIS ADJ? INS CALL|$|BND", 1.1),
     ("abuse", "this_is", "THIS _ INS _ HE|x IS|$", 1.0),
     ("abuse", "insult_end", "INS CALL", 1.1),
+    ("abuse", "vocative_insult", "BND INS $", 1.05),
+    ("abuse", "is_bad_thing", "IS THIS? ADJ x? INSW", 1.05),
     ("abuse", "insult_rank", "INS|INSW KUSE", 1.05),
     ("abuse", "topic_insult", "TOP|LIKE BND? INS COP|RHET|$", 1.05),
     ("abuse", "is_insult", "IS ADJ? INS", 1.05),
@@ -84,7 +86,7 @@ CLAUSES = (
     ("abuse", "threat_phrase", "THS", 1.1),
     ("abuse", "threat_hint", "THP", 0.55),
     ("hate", "group_degraded", "GRP __ DEG|INS|DEV", 1.15),
-    ("hate", "group_compared", "GRP IS|TOP|LIKE? ALL|NEGP|THIS? LIKE? DEGW|ADJ|INSW", 1.1),
+    ("hate", "group_compared", "GRP IS|TOP|LIKE|GANA|BND? IS|GANA? ALL|NEGP|THIS? LIKE? DEGW|ADJ|INSW|INS", 1.1),
     ("hate", "group_seen_as", "GRP __ DEGW", 0.75),
     ("hate", "degraded_group", "DEG __ GRP", 0.9),
     ("hate", "weak_group", "DEGW|ADJ GRP", 0.7),

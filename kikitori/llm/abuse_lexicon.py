@@ -15,7 +15,11 @@ _HARM_TE = (
 # the same for verbs that harm only with a person, a body or a home as their object
 _MAY_HARM_TE = "折って 潰して 燃やして 焼いて 消して 埋めて 沈めて 撃って 切って 切り落として 壊して 砕いて 蹴って 引きずり出して 切り裂いて もいで むしって 閉じ込めて".split()
 _WILL_DO = "やる やるよ やるぞ やるぜ やるから やろうか やろう やりたい やんよ やっから".split()
-_HARM_PLAIN = "殺す ぶっ殺す ぶち殺す 刺す 殴る 燃やす 潰す ぶっ潰す 埋める 沈める しばく ぶん殴る ぶっ飛ばす シメる 焼く 撃つ".split()
+_HARM_PLAIN = "へし折る 刺し殺す 絞め殺す 殴り殺す 叩きのめす ぶちのめす 切り刻む 引き裂く 撃ち殺す 痛めつける 叩き潰す 握り潰す 呪い殺す 始末する 殺す ぶっ殺す ぶち殺す 刺す 殴る 燃やす 潰す ぶっ潰す 埋める 沈める しばく ぶん殴る ぶっ飛ばす シメる 焼く 撃つ".split()
+
+# adjectives that run people down, and their superlatives
+_BAD = "stupid|dumb|pathetic|worthless|useless|disgusting|ugly|brainless|moronic|idiotic|vile|repulsive|filthy|spineless|despicable|loathsome|hopeless|incompetent|revolting|deranged|braindead".split("|")
+_BAD += [a.removesuffix("e") + "est" if not a.endswith("y") else a[:-1] + "iest" for a in ("stupid", "dumb", "ugly", "vile", "filthy", "nasty", "mean", "lazy", "weak", "sick", "fat")]
 
 CORE = {
     "INS": (
@@ -26,12 +30,12 @@ CORE = {
     "INS_en": (
         "idiot|moron|imbecile|dumbass|dumbfuck|fool|loser|scum|scumbag|asshole|arsehole|bastard|bitch|whore|slut|cunt|dickhead|prick|retard|cretin|halfwit|nitwit|dimwit|dunce|twat|wanker|jackass"
         "|motherfucker|son of a bitch|piece of shit|piece of garbage|piece of trash|piece of crap|piece of filth|stupid pig|stupid cow|fat pig|filthy pig|waste of space|waste of oxygen|waste of skin|worthless scum"
-        "|pathetic loser|degenerate|bimbo|swine|maggot|lowlife|scoundrel|simpleton|ignoramus|dirtbag|douchebag|shithead|fuckwit|bonehead|numbskull|good for nothing|pathetic excuse|disgrace to"
+        "|pathetic loser|degenerate|bimbo|swine|maggot|lowlife|scoundrel|simpleton|ignoramus|dirtbag|douchebag|shithead|fuckwit|bonehead|numbskull|psychopath|sociopath|pervert|liar|hypocrite|parasite of a man|traitor|cheat|fraud of a|snob|bully|crybaby|weakling|good for nothing|pathetic excuse|disgrace to"
     ).split("|"),
     "INSW": "ゴミ ブタ 豚 ハゲ ブス デブ ガキ ババア ジジイ ボケ クソ ゲス 変態 底辺 ポンコツ チビ 畜生 外道".split(),
     "INSW_en": "pig|trash|garbage|rat|worm|snake|clown|coward|failure|creep|freak|weirdo|hag|cow|dog|monster|jerk|disgrace|burden|joke|parasite|cockroach|rubbish|shit|skank|slob|brat|leech|tramp|psycho|lunatic|nutcase|wretch|bum|goblin|ogre|toad|slug|sheep|donkey".split("|"),
     "ADJ": "キモい きもい キモすぎ キモイ 気持ち悪い 気色悪い うざい ウザい ウザイ 頭悪い 頭が悪い 頭がおかしい 頭おかしい 醜い 情けない 使えない 薄汚い 気色わるい 目障りな 鬱陶しい うっとうしい 胸くそ悪い 見苦しい 不愉快な 性格が悪い 頭が弱い 頭の弱い ダサい 汚らわしい みっともない 卑しい 脳みそがない 救いようがない 救いようのない".split(),
-    "ADJ_en": "stupid|dumb|pathetic|worthless|useless|disgusting|ugly|brainless|moronic|idiotic|vile|repulsive|filthy|spineless|despicable|loathsome|hopeless|incompetent|revolting|deranged|braindead".split("|"),
+    "ADJ_en": _BAD,
     "DIE": "死ね 死にやがれ 死んでくれ 死んじまえ 死んでしまえ くたばれ くたばっちまえ 地獄に落ちろ 地獄へ落ちろ 失せろ 消えろ 消え失せろ 自殺しろ 首を吊れ 首吊れ 飛び降りろ 死んだほうがいい 死んだ方がいい 死んだほうがまし 死ねばいい 死ねばいいのに 死ねばよかった 死んだらいい 死んで当然 死んで詫び".split(),
     "DIE_en": "go and die|go die|drop dead|kill yourself|hang yourself|go to hell|burn in hell|rot in hell|die in a fire|jump off a bridge|jump off a cliff|end your life|fuck you|fuck off|piss off|screw you|kys|do us all a favor and die".split("|"),
     "DIS": "口を開くな 黙れ 二度と来るな 黙ってろ うせろ 引っ込んでろ 消え去れ 目障り 顔も見たくない 口を閉じろ".split(),
@@ -68,7 +72,7 @@ CORE = {
     ).split("|"),
     "DEGW": "猿だ 猿と同じ 泥棒だ 犯罪者だ 嘘つきだ 怠け者だ 猿みたい 動物だ 病気だ 臭い 汚い 迷惑だ 邪魔だ".split(),
     "DEGW_en": (
-        "parasites|animals|rats|thieves|criminals|filth|inferior|apes|monkeys|disease|diseased|plague|cancer|rapists|murderers|terrorists|leeches|a burden|pests|lazy|a threat to our|destroying our|ruin our|invading|too stupid|beasts|dirty|pigs|dogs|liars|evil|spread disease"
+        "parasite|animal|rat|thieves|thief|criminal|filth|inferior|ape|monkey|disease|diseased|plague|cancer|rapist|murderer|terrorist|leeches|leech|a burden|pest|lazy|a threat to our|destroying our|ruin our|invading|too stupid|beast|dirty|pig|dog|liar|evil|spread disease"
     ).split("|"),
     "EXC": (
         "出て行け 出ていけ 出てけ 出て行って 追い払え 追い出せ 追い出そう 叩き出せ 根絶やし 皆殺し 絶滅させ 殺せ 殺してしまえ 殺すべき 死ぬべき 滅びろ 滅ぼせ 雇うな 入れるな 檻に入れ 閉じ込めろ 国に帰れ 国へ帰れ 国に帰す 排除しろ 排除すべき 追放しろ 追放すべき"
@@ -84,15 +88,15 @@ CORE = {
     "SLUR": "チョン公 シナ畜 支那畜 クロンボ 土人ども ジャップども 三国人ども".split(),
     "S3": (
         "セックス 絶頂に達 全裸 愛撫 胸を揉 乳首 おっぱい 性器 ペニス ヴァギナ クリトリス 射精 中出し フェラ クンニ オナニーしな オナニーする オナニーして オナニーをし 自慰 手コキ 勃起 陰茎 陰部 秘部 秘所 抱かせて 裸のまま絡み合 裸で絡み合 イかせて イっちゃう イキそう イクッ 下着の中に 中に欲しい 服を全部脱"
-        " 性行為 性交 淫ら 淫乱 エッチしたい エッチしよ 犯して 首筋から下へ 裸を想像 ハメ撮り 乱交 性奴隷 肉棒 巨乳 パイズリ 潮吹き 股間を 股を開 脚を開いて 足を開いて 腰を振 奥まで突 尻を撫で回 体を重ね 喘ぎ声 太ももの間 愛液 濡れそぼ 濡れたあそこ 奥まで入れて 中で果て 口に含ん 咥え 感じてしまう 下着の上から 下着を脱 肌を重ね 腰を動か 奥を突 身体を弄 体を弄 ちんこ ちんぽ まんこ 乳を吸 尻を揉 ベッドで抱 乳首を 胸にしゃぶ"
+        " 性行為 性交 淫ら 淫乱 エッチしたい エッチしよ 犯して 犯した 犯され 絶頂を迎 太ももを舐 太腿を 押し倒して抱 首筋から下へ 裸を想像 ハメ撮り 乱交 性奴隷 肉棒 巨乳 パイズリ 潮吹き 股間を 股を開 脚を開いて 足を開いて 腰を振 奥まで突 尻を撫で回 体を重ね 喘ぎ声 太ももの間 愛液 濡れそぼ 濡れたあそこ 奥まで入れて 中で果て 口に含ん 咥え 感じてしまう 下着の上から 下着を脱 肌を重ね 腰を動か 奥を突 身体を弄 体を弄 ちんこ ちんぽ まんこ 乳を吸 尻を揉 ベッドで抱 乳首を 胸にしゃぶ"
     ).split(),
     "S3_en": (
-        "made love|make love to|making love|taste your|eat your pussy|enter her|entered her|enter me|undress|jerk off|jerking off|touching herself|touching himself|rubbed her clit|hard on|bare ass|spank|bdsm|stroke his|have sex|having sex|had sex|for sex|sex with|blowjob|handjob|my cock|his cock|your cock|hard cock|my dick|his dick|your dick|pussy|tits|nipples|nipple|clit|orgasm|orgasms|cumming|cum on|cum inside|cum in|masturbate|masturbating|masturbates|fuck me|fuck her|fuck him|fucked me|fucked her|fucking me|fucking her|suck me|suck my|suck his"
+        "climaxed|climaxes|climaxing|naked ass|bare ass|naked tits|wild sex|rough sex|was inside her|was inside me|inside of me|inside of her|rides him|rode him|riding him|grinding on|made love|make love to|making love|taste your|eat your pussy|enter her|entered her|enter me|undress|jerk off|jerking off|touching herself|touching himself|rubbed her clit|hard on|bare ass|spank|bdsm|stroke his|have sex|having sex|had sex|for sex|sex with|blowjob|handjob|my cock|his cock|your cock|hard cock|my dick|his dick|your dick|pussy|tits|nipples|nipple|clit|orgasm|orgasms|cumming|cum on|cum inside|cum in|masturbate|masturbating|masturbates|fuck me|fuck her|fuck him|fucked me|fucked her|fucking me|fucking her|suck me|suck my|suck his"
         "|lick me|lick my|lick her|ride me|rides me|naked body|naked bodies|strips naked|strip naked|take off your clothes|take off your panties|take off her clothes|take off your bra|into my underwear|into her underwear|into my panties|into her panties|between my legs|between her legs|between her thighs|between my thighs|spread my legs|spread your legs|spread her legs|until i come|come inside"
         "|deep inside me|deep inside her|inside me|stripped and fondled|fondled|erection|porn|threesome|gangbang|oral sex|anal sex|so horny|horny|thrusts into|thrusting into|her bare breasts|her breasts|my breasts|make me come|makes me come|undress me|undresses me|groped|grope|moan my name|moans my name|climax together"
     ).split("|"),
     "S2": "喘ぐ 喘いで 喘ぎ エロい エロ声 エロ動画 成人向け 腰が跳ね 裸の 裸で 裸に 裸を 官能的 いやらしい 挿入 股間 快感 性感 ペッティング 濡れた吐息 素肌を 乳房 下着姿 喘い 抱いて 奥まで入 奥まで突 激しく突 弄られ 弄って 舐め回 吸い付 まさぐ ねっとり 絡み合".split(),
-    "S2_en": "under her skirt|under my skirt|up her skirt|up my thigh|up her thigh|gasped with pleasure|moans and|whimper|groping|sex|naked|nude|moans|moaning|moaned|adult scene|fondle|caresses|aroused|lust|seductively|undressing|undressed|undresses|penis|vagina|breasts|thighs|panties|crotch|lingerie|sensual".split("|"),
+    "S2_en": "under her skirt|under my skirt|up her skirt|up my thigh|up her thigh|gasped with pleasure|moans and|whimper|groping|sex|naked|nude|moans|moaning|moaned|adult scene|fondle|caresses|aroused|lust|seductively|undressing|undressed|undresses|penis|vagina|panties|crotch|lingerie|sensual".split("|"),
     "HARMLESS": (
         "バカンス 馬鹿正直 馬鹿にしないで 馬鹿にするな くず湯 クズ湯 くず餅 くずもち くずれ くずし かすれ かすか かすみ かすむ 動かす 明かす 生かす 溶かす 乾かす アホウドリ バカラ 裸足 裸眼 裸電球 丸裸 喘息 死ねば 死ねない 死ねる 殺してね 息を殺して 声を殺して 感情を殺して 害虫の駆除 害虫駆除 害虫対策 セックスレス"
         " カステラ カスタ カスピ バカリ クズネツ アホロートル 燃えるゴミ ゴミ箱 ゴミ袋 ゴミ拾い 豚肉 豚汁 黒豚 豚カツ 子豚 ハゲタカ ハゲワシ 自己嫌悪 劣等感 下等生物 泥棒猫 猿回し 人気絶頂 挿入歌 時間を潰して 暇を潰して パンを焼いて 火を消して 電気を消して"
@@ -133,7 +137,7 @@ CONTEXT = {
     "FIRE": r"\bon fire\b|\bablaze\b|\bset fire to\b|\bburn down\b|\bin the (?:ground|hospital|grave)\b|\ba grave\b|\b(?:suffer|bleed|pay|regret|scream|beg)\b|\byour life\b|\bmiserable life\b",
     "ALL": r"\b(?:all|every|those|these|no)\b|全員|みんな|連中|ども",
     "OUT": r"\bout\b|\baway\b|\bback\b",
-    "S1": r"したい|最中|まま|ねだ|漏らす|囁|欲しい|脱|触って|触れ|揉|舐|吐息|興奮|べっど|ベッド|抱いて|抱き|下着|胸|太もも|濡れ|唇|快楽|悶|激しく|場面|声|\b(?:bed|harder|begging|night|kiss|kisses|touch|touches|wet|slowly|gasp|breathless|lips|body|hand|hands|pleasure|tongue|clothes|whispers)\b",
+    "S1": r"したい|最中|まま|ねだ|漏らす|囁|欲しい|脱|触って|触れ|揉|舐|吐息|興奮|べっど|ベッド|抱いて|抱き|下着|胸|太もも|濡れ|唇|快楽|悶|激しく|場面|声|\b(?:breasts|thighs|stripped|shower|bed|harder|begging|night|kiss|kisses|touch|touches|wet|slowly|gasp|breathless|lips|body|hand|hands|pleasure|tongue|clothes|whispers)\b",
     "QO": r"[「『“]|(?<![a-z0-9])[\"‘](?=\w)",
     "QC": r"[」』”]|(?<=[\w.!?,])[\"’](?![a-z0-9])",
     "BUT": r"\bbut\b|けど|けれど|しかし",
@@ -143,7 +147,7 @@ CONTEXT = {
 GROUP = (
     r"移民|外国人|外人|障害者|身障者|よそ者|余所者|異教徒|異民族|難民|同性愛者|ゲイ(?=[はもがどを]|なん)|レズビアン|ホモ(?=[はもがどを])|トランスジェンダー|ユダヤ|ムスリム|在日|貧乏人|ホームレス|生活保護|少数民族|先住民|有色人種|黒人|白人|(?<![ぁ-ん一-鿿])女(?=は|なんて)|女(?:ども|なんか|という生き物)|老人ども|年寄りども|[東西南北]の(?:連中|奴ら|者)|あの(?:国|民族|人種|部族|宗教)の(?:人間|連中|奴ら|者)|あの(?:民族|人種|部族|種族)"
     r"|[ァ-ヺ]{2,10}(?:人|族|教徒|派の連中)|(?<![ぁ-ん])(?!この|その|あの|どの|うち|よその|ふつう|ひとり|ふたり)[ぁ-ん]{2,8}(?<![のないたるっしてに])(?:人|族|教徒)(?=[はもがをどのとなに])|(?:韓国|朝鮮|中国|日本|台湾|米国|英国|仏教|回教|新教|旧教)(?:人|教徒|徒)"
-    r"|\b(?:immigrants?|migrants|foreigners?|outsiders|refugees|disabled people|the disabled|cripples|jews|jewish people|muslims|christians|hindus|buddhists|sikhs|arabs|blacks|black people|white people|brown people|asians|africans|gypsies|roma|gays|gay people|lesbians|homosexuals|trans people|transgender people|queers|women|females|old people|the elderly|the poor|poor people|the homeless|homeless people|natives|indigenous people|minorities|turks|poles|heathens|infidels|unbelievers|peasants|strangers|people from [a-z]+)\b"
+    r"|\b(?:immigrants?|migrants?|foreigners?|outsiders|refugees?|disabled people|the disabled|cripples|jews?|jewish people|muslims?|christians?|hindus?|buddhists?|sikhs?|arabs?|blacks|black people|white people|brown people|asians|africans|gypsies|roma|gays|homosexual|gay people|lesbians|homosexuals|trans people|transgender people|queers|women|females|old people|the elderly|the poor|poor people|the homeless|homeless people|natives|indigenous people|minorities|turks|poles|heathens|infidels|unbelievers|peasants|strangers|people from [a-z]+)\b"
     r"|\b(?!favorites\b|websites\b|sites\b|suites\b|invites\b|cheese\b|geese\b|humans\b|plans\b|means\b|fans\b|beans\b|oceans\b|veterans\b|musicians\b|physicians\b|librarians\b|technicians\b|magicians\b|politicians\b|guardians\b|pedestrians\b|cleans\b|loans\b|scans\b|leans\b|organs\b|swans\b|clans\b|vans\b|bites\b|kites\b|writes\b|rites\b|notes\b|minutes\b|whites\b|unites\b|ignites\b|excites\b|satellites\b|elites\b|obese\b|chinese food\b|japanese food\b|slogans\b|urbans\b|titans\b|artisans\b|partisans\b|orphans\b|toucans\b|pecans\b|volcans\b|trojans\b|caravans\b|turbans\b|cardigans\b|vegans\b|republicans\b|comedians\b|historians\b|custodians\b|civilians\b|electricians\b|dieticians\b|reptilians\b|amphibians\b|requires\b)[a-z]{3,12}(?:ites|ans|ish people|ese)\b"
 )
 #: words that say nothing about a clause, so that what stands around them counts as adjacent

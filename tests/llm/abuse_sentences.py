@@ -116,6 +116,49 @@ SAID = [
     ('sexual', '彼のペニスを握った。'),
     ('sexual', '耳元で喘ぎながら服を脱ぐ。'),
     ('sexual', '濡れた下着の上から触られて感じてしまう。'),
+    ('abuse', 'You are the dumbest person I have ever met.'),
+    ('abuse', "I'd love to punch you in the face."),
+    ('abuse', 'Crawl back into your hole, you disgusting worm.'),
+    ('abuse', 'I will make you regret the day you were born.'),
+    ('abuse', 'Nobody would notice if you disappeared, you waste of space.'),
+    ('abuse', 'That guy is a complete psychopath and a liar.'),
+    ('abuse', 'Eat dirt and die, scumbag.'),
+    ('abuse', 'My neighbour is such a filthy old hag.'),
+    ('abuse', "Keep talking and I'll knock your teeth out."),
+    ('abuse', 'Your mother must be ashamed of raising such an imbecile.'),
+    ('abuse', 'お前は本当に使えないクズだ。'),
+    ('abuse', 'さっさとくたばれ、老害が。'),
+    ('abuse', '次に邪魔したら骨をへし折るぞ。'),
+    ('abuse', 'あんな卑怯者とは口もききたくない。'),
+    ('abuse', 'あんたみたいな恥知らず、見たことがない。'),
+    ('abuse', 'おまえの首を絞めてやる。'),
+    ('abuse', '頭おかしいんじゃないの、気持ち悪い。'),
+    ('abuse', 'てめえみたいな役立たずは首を吊れ。'),
+    ('abuse', '殺されたくなかったら黙れ、この馬鹿者。'),
+    ('abuse', 'あの店員は無能すぎる。'),
+    ('hate', 'Foreigners are ruining our country and must be expelled.'),
+    ('hate', 'Every Muslim is a criminal.'),
+    ('hate', 'Those people are savages, lock them in cages.'),
+    ('hate', 'Disabled people are a waste of money and should be sterilized.'),
+    ('hate', 'Round up the gypsies and burn their camps.'),
+    ('hate', 'Lesbians are sick perverts who need to be eliminated.'),
+    ('hate', 'Never trust a Jew, they are liars and thieves.'),
+    ('hate', '中国人は全員スパイだ、追い出せ。'),
+    ('hate', '外国人を殺せ。'),
+    ('hate', '障害者なんて社会のお荷物だ。'),
+    ('hate', '同性愛者は病気だ、隔離しろ。'),
+    ('hate', 'ホームレスはゴキブリ以下だ。'),
+    ('hate', '移民が来ると町が汚れる、入れるな。'),
+    ('sexual', 'He unbuttoned her blouse and squeezed her bare breasts.'),
+    ('sexual', 'She climaxed twice while he was inside her.'),
+    ('sexual', 'Send me a picture of your naked ass.'),
+    ('sexual', 'They stripped and had wild sex in the shower.'),
+    ('sexual', 'I dream about your mouth on my cock.'),
+    ('sexual', '彼女の太ももを舐め上げる。'),
+    ('sexual', 'ベッドで裸になって抱き合った。'),
+    ('sexual', '彼は彼女を押し倒して激しく犯した。'),
+    ('sexual', 'おっぱいを触らせて。'),
+    ('sexual', '何度も絶頂を迎えて喘いだ。'),
 ]
 HARMLESS = [
     'You are not an idiot.',
@@ -216,4 +259,39 @@ HARMLESS = [
     'この野郎という言葉は使わないで。',
     '腕を折ってしまい入院した。',
     '家を燃やされた被害者が話した。',
+    'He said I was not dumb.',
+    'You are never useless to us.',
+    'The word "bitch" should not be used in class.',
+    'A fool and his money are soon parted.',
+    'The killer in the novel strangles his victims.',
+    'I will break the news to you gently.',
+    'We will shoot the scene at dawn.',
+    'Get lost in the music.',
+    'The pigs on the farm are fat.',
+    'My dog is stupid but lovely.',
+    'Refugees and migrants deserve our help.',
+    'Foreigners are welcome here.',
+    "It's a lie that women are less intelligent.",
+    'The report says Muslims were attacked by thugs.',
+    'Cockroaches infest the kitchen.',
+    'The nude painting sold for a million.',
+    'The doctor asked about her sex life.',
+    'Thighs and breasts of chicken are on sale.',
+    'お前は役立たずじゃない、自信を持て。',
+    '「死ね」という言葉を使ってはいけません。',
+    '彼はバカンスに行く予定だ。',
+    'ゴミを拾う活動に参加する。',
+    '豚の角煮を作る。',
+    '犯人は「殺すぞ」と脅した疑いで逮捕された。',
+    '外国人労働者の権利を守ろう。',
+    '女性の社会進出が進む。',
+    '胸が熱くなる話だった。',
+    '裸足で砂浜を歩いた。',
+    '温泉で裸の付き合いをする。',
+    '害虫を駆除する薬を買った。',
+    '首を長くして待っている。',
+    '骨を折って入院した。',
+    '私は昔から臆病者でした。',
+    '彼女は頭が痛いと言った。',
+    '体を温めて早く寝なさい。',
 ]
