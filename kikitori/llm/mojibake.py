@@ -4,14 +4,15 @@ A chain (wrong codec, right codec) undoes one wrong decoding: encode with the wr
 chain applies to the stretches of a text whose bytes are well-formed in the right codec. A character bigram model, smoothed
 with unigrams and trained on all clean records, scores every candidate against the text as it stands; the likeliest one is
 taken if its mean log-likelihood per character is better by a margin and its total is better too. Chains are applied again
-to what they restored, until nothing changes, so text garbled twice is undone twice. The margin is validated on the corpus
-(:func:`validated_margin`): clean records held out of training must come through unchanged.
+to what they restored, until nothing changes, so text garbled twice is undone twice. The margin is validated on the whole
+corpus (:func:`margin_of`): every clean record is scored by the model of all others, and but a few may be changed.
 
 The model is a table of hashed counts: its size is fixed, however large the corpus, and every clean record is counted; telling
 stretches are left out of the counts, so that garbled text doesn't vouch for itself.
 
-Two scans: one counts, one judges. Candidates are looked for in whole batches of texts by array operations, and regular
-expressions read only where these point to.
+One scan counts, and writes the texts that hold candidates with these; they alone are scored, and those of them that some
+margin may change are judged once the margin is known. Candidates are looked for in whole batches of texts by array
+operations, and regular expressions read only where these point to.
 
 Defined results: null and empty texts are clean; a text with replacement characters (bytes lost in a wrong decoding) is
 garbled even where no chain restores it; whole texts are read; repeated rows are judged alike; ids of any type are kept.
@@ -20,6 +21,7 @@ garbled even where no chain restores it; whole texts are read; repeated rows are
 from __future__ import annotations
 
 import codecs
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,15 +29,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kikitori.session import cut, drop_table
+
 BIGRAMS, UNIGRAMS = 1 << 20, 1 << 16
 BACKOFF = 4.0  # weight of the unigram estimate, in counts
-MARGIN = 1.0  # mean log-likelihood per character, natural log; the least that validated_margin gives
+MARGIN = 1.0  # mean log-likelihood per character, natural log; the least that validation gives
 TOTAL_MARGIN = 3.0
 ROUNDS = 8  # a guard: each round undoes one wrong decoding of each stretch
-HELD_OUT = 400  # clean records the margin is validated on
+CHANGED = 1000  # one clean record in so many, and one at least, may gain more than the margin: a few without telling stretches are garbled
+GAIN_STEP = 0.01  # width of the classes in which gains of clean records are counted
 
 SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r")
 DOUBLE = ("cp932", "gbk", "euc_jp")
@@ -345,39 +350,44 @@ class BigramModel:
 
     def __init__(self, unigrams: np.ndarray, bigrams: np.ndarray):
         self.uni, self.bi = unigrams.astype(np.float64), bigrams.astype(np.float64)
-        self.p1 = (self.uni + 0.5) / (self.uni.sum() + 0.5 * UNIGRAMS)
+        self.total = float(self.uni.sum())
+
+    def _logs(self, c: np.ndarray) -> np.ndarray:
+        """log P(c | c before) of all characters but the first."""
+        h1 = _hash1(c)
+        uni = self.uni[h1]
+        p1 = (uni[1:] + 0.5) / (self.total + 0.5 * UNIGRAMS)
+        return np.log((self.bi[_hash2(c)] + BACKOFF * p1) / (uni[:-1] + BACKOFF))
 
     def score(self, text: str) -> tuple[float, int]:
         """Sum of log P(c | c before) over the text but its first character, and the number of terms."""
         c = _codes(text)
         if len(c) < 2:
             return 0.0, 0
-        h1 = _hash1(c)
-        p = (self.bi[_hash2(c)] + BACKOFF * self.p1[h1[1:]]) / (self.uni[h1[:-1]] + BACKOFF)
-        return float(np.log(p).sum()), len(c) - 1
+        return float(self._logs(c).sum()), len(c) - 1
 
     def scores(self, texts: list[str], at_once: int = 50_000) -> Iterator[tuple[float, int]]:
         """:meth:`score` of many texts of at least two characters."""
         for i in range(0, len(texts), at_once):
             part = texts[i : i + at_once]
             lengths = np.array([len(t) for t in part])
-            c = _codes("".join(part))
-            h1 = _hash1(c)
-            p = np.log((self.bi[_hash2(c)] + BACKOFF * self.p1[h1[1:]]) / (self.uni[h1[:-1]] + BACKOFF))
+            p = self._logs(_codes("".join(part)))
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             p = np.append(p, 0.0)
             p[starts[1:] - 1] = 0.0  # from the end of one text to the next
             yield from zip(np.add.reduceat(p, starts).tolist(), (lengths - 1).tolist())
 
 
-def batch_gains(texts: list[str], model: BigramModel, found: list[list[tuple[int, int, str, str]]]) -> list[list[tuple[float, float]]]:
-    """For the candidates of each text (gain a character, total gain), scored in one pass."""
+def _sides(text: str, found: list[tuple[int, int, str, str]]) -> list[str]:
+    """Each candidate as it stands and restored, with a character around it."""
     strings: list[str] = []
-    for t, own in zip(texts, found):
-        for a, b, got, _ in own:
-            left, right = t[max(a - 1, 0) : a] or "\n", t[b : b + 1] or "\n"
-            strings += (left + t[a:b] + right, left + got + right)
-    sums = iter(model.scores(strings))
+    for a, b, got, _ in found:
+        left, right = text[max(a - 1, 0) : a] or "\n", text[b : b + 1] or "\n"
+        strings += (left + text[a:b] + right, left + got + right)
+    return strings
+
+
+def _paired(sums: Iterator[tuple[float, int]], found: list[list[tuple[int, int, str, str]]]) -> list[list[tuple[float, float]]]:
     out = []
     for own in found:
         pairs = []
@@ -388,13 +398,35 @@ def batch_gains(texts: list[str], model: BigramModel, found: list[list[tuple[int
     return out
 
 
+def batch_gains(texts: list[str], model: BigramModel, found: list[list[tuple[int, int, str, str]]]) -> list[list[tuple[float, float]]]:
+    """For the candidates of each text (gain a character, total gain), scored in one pass."""
+    return _paired(iter(model.scores([s for t, own in zip(texts, found) for s in _sides(t, own)])), found)
+
+
+def held_out_gains(texts: list[str], model: BigramModel, found: list[list[tuple[int, int, str, str]]]) -> list[list[tuple[float, float]]]:
+    """:func:`batch_gains` of texts that were counted whole, each by the model of all text but itself."""
+    return _paired((s for t, own in zip(texts, found) for s in _scores_without(t, model, _sides(t, own))), found)
+
+
+def _scores_without(text: str, model: BigramModel, strings: list[str]) -> Iterator[tuple[float, int]]:
+    if not strings:
+        return
+    own = _codes("\n" + text + "\n")
+    own1, own2 = _hash1(own[:-1]), _hash2(own)
+    np.subtract.at(model.uni, own1, 1.0)
+    np.subtract.at(model.bi, own2, 1.0)
+    rest, model.total = model.total, model.total - len(own1)
+    got = list(model.scores(strings))
+    model.total = rest
+    np.add.at(model.uni, own1, 1.0)
+    np.add.at(model.bi, own2, 1.0)
+    yield from got
+
+
 def _gains(text: str, model: BigramModel, found: list[tuple[int, int, str, str]]) -> Iterator[tuple[float, float, int, int, str, str]]:
     """(gain a character, total gain, start, end, restored, chain) of candidates, each with a character around it."""
-    for a, b, got, chain in found:
-        left, right = text[max(a - 1, 0) : a] or "\n", text[b : b + 1] or "\n"
-        as_is, n = model.score(left + text[a:b] + right)
-        better, m = model.score(left + got + right)
-        yield better / m - as_is / n, better - as_is, a, b, got, chain
+    for gained, candidate in zip(batch_gains([text], model, [found])[0], found):
+        yield *gained, *candidate
 
 
 def judge(text: str, model: BigramModel, found: list[tuple[int, int, str, str]], margin: float = MARGIN) -> list[tuple[int, int, str, str]]:
@@ -463,14 +495,31 @@ def training_text(text: str, bits: int, found: list[tuple[int, int, str, str]])
 
 SUMMERS = 16  # tasks that sum them
 RANGES = 64  # parts of the table of counts that are summed by themselves
-SURVEY = "part int, counts binary"
+COUNTS = "part int, counts binary"
+
+
+def _portions(column: pa.Array, size: int = 1_000_000) -> Iterator[list[tuple[int, str]]]:
+    """The texts of a batch with their places, about ``size`` characters at once, as arrays over whole batches take much memory."""
+    part: list[tuple[int, str]] = []
+    n = 0
+    for k, t in enumerate(column.to_pylist()):
+        if t:
+            part.append((k, t))
+            n += len(t)
+            if n > size:
+                yield part
+                part, n = [], 0
+    if part:
+        yield part
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the clean text of a task, in RANGES rows of compressed counts."""
+    """Every text that holds candidates or lost characters: id, text, its candidates, whether it was counted whole. Then the
+    counts of the clean text of a task, in RANGES rows of compressed counts, and one with the number of texts counted whole."""
     counts = np.zeros(UNIGRAMS + BIGRAMS, np.int64)
     pending: list[str] = []
-    size = 0
+    size = whole = 0
+    kind = None
 
     def count() -> None:
         nonlocal pending, size
@@ -481,16 +530,34 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, size = [], 0
 
     for batch in batches:
-        texts = [t for t in batch.column(0).to_pylist() if t]
-        for t, (bits, found) in zip(texts, batch_candidates(texts)):
-            if clean := training_text(t, bits, found):
+        kind = batch.schema.field(0).type
+        at, kept = [], []
+        for (k, t), (bits, found) in (x for p in _portions(batch.column(1)) for x in zip(p, batch_candidates([t for _, t in p]))):
+            clean = training_text(t, bits, found)
+            if clean:
                 pending.append(clean)
+                whole += clean is t
                 size += len(clean)
                 if size > 2_000_000:
                     count()
+            if found or bits & BITS["lost"]:
+                at.append(k)
+                kept.append((pickle.dumps(found), clean is t))
+        if at:
+            place = pa.array(at, pa.int64())
+            nothing = [pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())]
+            own = [batch.column(0).take(place), batch.column(1).take(place), pa.array([f for f, _ in kept], pa.binary()), pa.array([w for _, w in kept], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*nothing, *own], names=["part", "counts", "id", "text", "found", "whole"])
     count()
     if counts.any():
-        yield _count_rows(np.split(counts, RANGES))
+        rows = _count_rows([*np.split(counts, RANGES), np.array([whole], np.int64)])
+        empty = [pa.nulls(rows.num_rows, t) for t in (kind, pa.string(), pa.binary(), pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*rows.columns, *empty], names=["part", "counts", "id", "text", "found", "whole"])
+
+
+def _surveyed(named: DataFrame) -> DataFrame:
+    kind = dict(named.dtypes)["id"]
+    return named.mapInArrow(_survey, f"{COUNTS}, id {kind}, text string, found binary, whole boolean")
 
 
 def _count_rows(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -512,25 +579,23 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train_model(texts: DataFrame) -> BigramModel:
-    """The model of all clean text in the one column of ``texts``. Tasks send compressed counts, which are summed part by part;
+def _summed(surveyed: DataFrame) -> tuple[BigramModel, int]:
+    """The model, and the number of texts counted whole. Tasks send compressed counts, which are summed part by part;
     UNIGRAMS + BIGRAMS counts come to the driver, whatever the corpus."""
-    rows = texts.mapInArrow(_survey, SURVEY).repartition(SUMMERS, "part").mapInArrow(_merge, SURVEY).collect()
-    counts = np.zeros((RANGES, (UNIGRAMS + BIGRAMS) // RANGES), np.int64)
-    for r in rows:
-        counts[r["part"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    flat = counts.reshape(-1)
-    return BigramModel(flat[:UNIGRAMS], flat[UNIGRAMS:])
+    rows = surveyed.where("part IS NOT NULL").select("part", "counts").repartition(SUMMERS, "part").mapInArrow(_merge, COUNTS).collect()
+    parts = {r["part"]: np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in rows}
+    flat = np.concatenate([parts[i] for i in range(RANGES)]) if parts else np.zeros(UNIGRAMS + BIGRAMS, np.int64)
+    return BigramModel(flat[:UNIGRAMS], flat[UNIGRAMS:]), int(parts[RANGES][0]) if parts else 0
 
 
-def is_held_out(key: Column) -> Column:
-    """About one record in a hundred takes no part in training, so that the margin can be validated on it."""
-    return F.pmod(F.xxhash64(F.lit("held out"), key), F.lit(100)) == 0
+def train_model(texts: DataFrame) -> BigramModel:
+    """The model of all clean text in the one column of ``texts``."""
+    return _summed(_surveyed(texts.select(F.lit(0).alias("id"), F.col(texts.columns[0]).alias("text"))))[0]
 
 
 def validated_margin(texts: list[str], model: BigramModel, least: float = MARGIN) -> float:
-    """The smallest margin, ``least`` at least, by which no stretch of the clean records among ``texts`` would be changed.
-    Clean are those without telling stretches and lost or stray characters."""
+    """The smallest margin, ``least`` at least, by which no stretch of the clean records among ``texts``, which the model doesn't
+    know, would be changed. Clean are those without telling stretches and lost or stray characters."""
     top = least
     for t, (bits, found) in zip(texts, batch_candidates(texts)):
         if training_text(t, bits, found) is t:
@@ -540,29 +605,75 @@ def validated_margin(texts: list[str], model: BigramModel, least: float = MARGIN
     return top
 
 
+def margin_of(classes: dict[int, int], n: int, least: float = MARGIN) -> float:
+    """The smallest margin, ``least`` at least, that but one in CHANGED of ``n`` clean records exceed, and one at least.
+    ``classes``: the number of clean records by gain, in whole steps of GAIN_STEP."""
+    beyond = 0
+    for step in sorted(classes, reverse=True):
+        beyond += classes[step]
+        if beyond > max(1, n // CHANGED):
+            return max(least, (step + 1) * GAIN_STEP)
+    return least
+
+
+def _scored(shared, least: float, validate: bool):
+    """Of surveyed texts those that may gain more than ``least``, or have lost characters: id, text, and their gains a character
+    with the candidates that do. With ``validate`` also how many clean records gain how much more by the model of all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = BigramModel(*shared.value)
+        classes: dict[int, int] = {}
+        kind = None
+        names = ["id", "text", "found", "gain_step", "n"]
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            texts, whole = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            found = [pickle.loads(f) for f in batch.column(2).to_pylist()]
+            if validate:
+                clean = [k for k, w in enumerate(whole) if w]
+                for gained in held_out_gains([texts[k] for k in clean], model, [found[k] for k in clean]):
+                    gain = max((g for g, total in gained if total > TOTAL_MARGIN), default=least)
+                    if gain > least:
+                        step = int(gain // GAIN_STEP)
+                        classes[step] = classes.get(step, 0) + 1
+            at, better = [], []
+            for k, (t, own, gained) in enumerate(zip(texts, found, batch_gains(texts, model, found))):
+                gainful = [(g, x) for x, (g, total) in zip(own, gained) if g > least and total > TOTAL_MARGIN]
+                if gainful or LOST in t:
+                    at.append(k)
+                    better.append(pickle.dumps(gainful))
+            if at:
+                own = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(better, pa.binary()), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], names=names)
+        if classes:
+            empty = [pa.nulls(len(classes), t) for t in (kind, pa.string(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(list(classes), pa.int32()), pa.array(list(classes.values()), pa.int64())], names=names)
+
+    return run
+
+
 def find_garbled(df: DataFrame, id_column: str, text: str, margin: float | None = None) -> DataFrame:
-    """Id, restored, n_passages, chains, lost for every garbled record. ``lost``: replacement characters remain. Without a given
-    margin it is validated on a bounded sample of records that were held out of training."""
+    """Id, restored, n_passages, chains, lost for every garbled record. ``lost``: replacement characters remain. Every clean
+    record is counted; without a given margin every one of them takes part in validating it too."""
     named = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    model = train_model(named.where(~is_held_out(F.col("id")) | F.col("id").isNull()).select("text"))
-    if margin is None:
-        held = named.where(is_held_out(F.col("id")) & (F.length("text") > 0)).orderBy(F.xxhash64("id"), "id").limit(HELD_OUT)
-        margin = validated_margin([r["text"] for r in held.collect()], model)
-    shared = df.sparkSession.sparkContext.broadcast((model.uni, model.bi))  # UNIGRAMS + BIGRAMS counts
     kind = dict(named.dtypes)["id"]
+    surveyed, survey = cut(_surveyed(named), "garbled-survey")
+    model, n = _summed(surveyed)
+    shared = df.sparkSession.sparkContext.broadcast((model.uni, model.bi))  # UNIGRAMS + BIGRAMS counts
+    least = MARGIN if margin is None else margin
+    held = surveyed.where("text IS NOT NULL").select("id", "text", "found", "whole")
+    scored, _ = cut(held.mapInArrow(_scored(shared, least, margin is None), f"id {kind}, text string, found binary, gain_step int, n bigint"), "garbled-scored")
+    drop_table(df.sparkSession, survey)
+    if margin is None:
+        classes = scored.where("gain_step IS NOT NULL").groupBy("gain_step").agg(F.sum("n").alias("n")).collect()
+        margin = margin_of({r["gain_step"]: r["n"] for r in classes}, n)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = BigramModel(*shared.value)
         for batch in batches:
-            known = [(k, t) for k, t in enumerate(batch.column(1).to_pylist()) if t]
             rows, at = [], []
-            texts = [t for _, t in known]
-            every = list(batch_candidates(texts))
-            gains = batch_gains(texts, own, [found for _, found in every])
-            for (k, t), (bits, found), gained in zip(known, every, gains):
-                found = [x for x, (gain, total) in zip(found, gained) if gain > margin and total > TOTAL_MARGIN]
-                if not found and not bits & BITS["lost"]:
-                    continue
+            for k, (t, gainful) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                found = [x for gain, x in pickle.loads(gainful) if gain > margin]
                 restored, n, chains = restore(t, own, margin, found)
                 if n or LOST in t:
                     at.append(k)
@@ -571,7 +682,8 @@ def find_garbled(df: DataFrame, id_column: str, text: str, margin: float | None
             columns = [batch.column(0).take(pa.array(at, pa.int64())), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "restored", "n_passages", "chains", "lost"])
 
-    return named.mapInArrow(score, f"id {kind}, restored string, n_passages int, chains string, lost boolean").withColumnRenamed("id", id_column)
+    garbled = scored.where("text IS NOT NULL").select("id", "text", "found")
+    return garbled.mapInArrow(judged, f"id {kind}, restored string, n_passages int, chains string, lost boolean").withColumnRenamed("id", id_column)
 
 
 def margin_table(texts: list[str], model: BigramModel, margins: list[float]) -> list[tuple[float, float, float]]:

@@ -5,6 +5,7 @@ import pytest
 from kikitori.llm.mojibake import batch_candidates, candidates, find_garbled, margin_table, restore, stretch_starts, train_model, training_text, validated_margin
 from kikitori.llm.mojibake import DOUBLE, _UTF8, _single, text_features
 from kikitori.llm.mojibake import BIGRAMS, UNIGRAMS, BigramModel, _codes, _hash1, _hash2
+from kikitori.llm import mojibake
 
 import numpy as np
 
@@ -143,3 +144,32 @@ def test_clean_ideograph_behind_garble():
     own = BigramModel(np.bincount(_hash1(c), minlength=UNIGRAMS), np.bincount(_hash2(c), minlength=BIGRAMS))
     bad = "どうしてもランプが必".encode().decode("gbk")  # the bytes of the next character, 要, are those of a letter
     assert restore(bad + "要なんだ", own)[0] == "どうしてもランプが必要なんだ"
+
+
+def test_ids_do_not_decide_what_is_counted(spark):
+    held = spark.range(10_000).where("pmod(xxhash64('held out', id), 100) = 0").first()[0]
+    common = [t + "\n舗電 の読みを確かめる。" for t in corpus(120, 3)]
+    bad = ["店の看板は" + SENTENCES[1].format("灯台").encode().decode(c, "replace") for c in ("cp932", "gbk", "latin-1", "cp437")]
+    rest = [(20_000 + i, t) for i, t in enumerate(common + bad)]
+    for rare in (held, held + 1):
+        df = spark.createDataFrame([(rare, "ﾊﾞﾅﾅ の読みを確かめる。"), *rest], "doc_id bigint, text string")
+        got = {r.doc_id for r in find_garbled(df, "doc_id", "text").collect()} - {rare}
+        assert got == {20_120, 20_121, 20_122, 20_123}
+
+
+def test_margin_counts_every_clean_record():
+    assert mojibake.margin_of({}, 0) == mojibake.margin_of({1500: 1}, 90) == mojibake.margin_of({1500: 2, 120: 1}, 3000) == 1.0
+    assert mojibake.margin_of({1500: 2, 120: 1}, 90) == pytest.approx(15.01) and mojibake.margin_of({1500: 2, 120: 1}, 2000) == pytest.approx(1.21)
+    assert mojibake.margin_of({3: 5}, 90) == 1.0 and mojibake.margin_of({3: 5}, 90, 0.01) == pytest.approx(0.04)
+
+
+def test_held_out_gains_are_those_of_a_model_without_the_text():
+    rare = "ﾊﾞﾅﾅ の読みを確かめる。"
+    texts = [t + "\n舗電 の読みを確かめる。" for t in corpus(40, 3)] + [rare]
+    trained = lambda ts: (lambda c: BigramModel(np.bincount(_hash1(c), minlength=UNIGRAMS), np.bincount(_hash2(c), minlength=BIGRAMS)))(_codes("\n" + "\n".join(ts) + "\n"))
+    whole, rest = trained(texts), trained(texts[:-1])
+    before = whole.uni.copy(), whole.bi.copy()
+    found = [candidates(rare)]
+    got, want = mojibake.held_out_gains([rare], whole, found), mojibake.batch_gains([rare], rest, found)
+    assert got[0] and got[0] == [pytest.approx(x) for x in want[0]] and max(got[0])[0] > 2 * max(mojibake.batch_gains([rare], whole, found)[0])[0]
+    assert (whole.uni == before[0]).all() and (whole.bi == before[1]).all()
